@@ -88,12 +88,22 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For bytes of UTF-8 text: a 64-bit hash of each word (A-Z as a-z; ended by space or \\x09-\\x0D), and each word's first byte."""
+def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For bytes of UTF-8 texts that begin at cuts: a 64-bit hash of each word and where it begins.
+
+    Words end at space, \\x09-\\x0D or the end of a text; A-Z count as a-z.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8))
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    word = ~_SPACE[data]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    at = cuts[cuts < len(data)]
+    begins[at] = word[at]
+    at = at[at > 0] - 1
+    ends[at] = word[at]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers("up", _BASE, len(data))[: len(data)])))
     return mix((sums[last] - sums[first]) * _powers("down", _BASE_INV, len(data))[first] + (last - first).astype(np.uint64)), first
 

@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chat, decontaminate, packing, token_counts
+from trellis.llm import chat, decontaminate, ngram_join, packing, pii, token_counts, vectors
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def op2_sorted_projections(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_vectors(_read(spark, sf, "embeddings").select("vec_id", "embedding")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op3_chat_trees(spark: SparkSession, sf: str) -> DataFrame:
     turns = _read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -22,6 +26,12 @@ def op3_chat_trees(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("tree").alias("conv_id"), F.size("read").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op5_disclosure_pii(spark: SparkSession, sf: str) -> DataFrame:
+    out = pii.sanitise(_read(spark, sf, "documents").select("doc_id", "text"))
+    number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(number, pii.PATTERNS), F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,16 +40,42 @@ def op7_trie_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_pretokens", "n_tokens")
 
 
+def op9_multi_order_join(spark: SparkSession, sf: str) -> DataFrame:
+    out = ngram_join.jaccard_classes(_read(spark, sf, "documents"), n=4, percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op10_benchmark_scan(spark: SparkSession, sf: str) -> DataFrame:
     out = decontaminate.scan(_read(spark, sf, "documents").select("doc_id", "text"), _read(spark, sf, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_trees, op6_sum_of_squares_packing, op7_trie_token_counts, op10_benchmark_scan)}
+QUERIES = {f.__name__: f for f in (op2_sorted_projections, op3_chat_trees, op5_disclosure_pii, op6_sum_of_squares_packing, op7_trie_token_counts, op9_multi_order_join, op10_benchmark_scan)}
+
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_REACH = """
+reach(n, m) AS (SELECT n, n FROM nodes UNION SELECT reach.n, b FROM reach JOIN link ON reach.m = link.a),
+comp AS (SELECT n, min(m) AS component_id FROM reach GROUP BY n)"""
+
 ORACLES = {
+    "op2_sorted_projections": f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x, u y WHERE x.vec_id <> y.vec_id AND list_dot_product(x.e, y.e) >= 0.9 * x.norm * y.norm),
+nodes AS (SELECT vec_id AS n FROM v), {_REACH}
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN comp ON n = vec_id""",
+    "op9_multi_order_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(generate_series(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i : i + 3], ' '))) AS s FROM w WHERE len(w) > 0),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS same FROM t x JOIN t y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair WHERE 100 * same >= 85 * (na + nb - same)),
+nodes AS (SELECT doc_id AS n FROM documents), {_REACH}
+SELECT doc_id, CAST(coalesce(len(s), 0) AS BIGINT) AS n_shingles, component_id
+FROM documents LEFT JOIN s USING (doc_id) JOIN comp ON n = doc_id""",
     "op3_chat_trees": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
