@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chat, decontaminate, ngram_join, packing, pii, token_counts, vectors
+from trellis.llm import chat, decontaminate, line_dedup, ngram_join, packing, pii, quality, token_counts, toxicity, vectors
+from trellis.llm.labels import held_out
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def op1_segment_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_read(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_sorted_projections(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.near_vectors(_read(spark, sf, "embeddings").select("vec_id", "embedding")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -26,6 +32,12 @@ def op3_chat_trees(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("tree").alias("conv_id"), F.size("read").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op4_subword_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, _read(spark, sf, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_disclosure_pii(spark: SparkSession, sf: str) -> DataFrame:
     out = pii.sanitise(_read(spark, sf, "documents").select("doc_id", "text"))
     number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -40,6 +52,12 @@ def op7_trie_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_pretokens", "n_tokens")
 
 
+def op8_random_indexing_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality.train(docs, _read(spark, sf, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_multi_order_join(spark: SparkSession, sf: str) -> DataFrame:
     out = ngram_join.jaccard_classes(_read(spark, sf, "documents"), n=4, percent=85)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -50,7 +68,7 @@ def op10_benchmark_scan(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sorted_projections, op3_chat_trees, op5_disclosure_pii, op6_sum_of_squares_packing, op7_trie_token_counts, op9_multi_order_join, op10_benchmark_scan)}
+QUERIES = {f.__name__: f for f in (op1_segment_line_dedup, op2_sorted_projections, op3_chat_trees, op4_subword_toxicity, op5_disclosure_pii, op6_sum_of_squares_packing, op7_trie_token_counts, op8_random_indexing_quality, op9_multi_order_join, op10_benchmark_scan)}
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,7 +77,20 @@ _REACH = """
 reach(n, m) AS (SELECT n, n FROM nodes UNION SELECT reach.n, b FROM reach JOIN link ON reach.m = link.a),
 comp AS (SELECT n, min(m) AS component_id FROM reach GROUP BY n)"""
 
+# DuckDB's levenshtein counts bytes, so the SQL maps letters beyond ASCII to single ones first.
 ORACLES = {
+    "op1_segment_line_dedup": """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+l AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS p, unnest(w) AS line FROM d),
+f AS (SELECT line, min((doc_id, p)) AS f FROM l WHERE length(line) >= 20 GROUP BY line),
+c AS (SELECT line, f, array_to_string(list_transform(string_split(line, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE chr((1 + unicode(c) % 127)::INTEGER) END), '') AS a, length(line) AS n FROM f),
+near AS (SELECT DISTINCT y.line FROM c x JOIN c y ON x.n BETWEEN y.n - 2 AND y.n + 2 AND x.f < y.f WHERE levenshtein(x.a, y.a) <= 2),
+k AS (SELECT doc_id, p, l.line, f.line IS NOT NULL AND (doc_id, p) <> f.f AS exact, f.line IS NOT NULL AND (doc_id, p) = f.f AND near.line IS NOT NULL AS near
+      FROM l LEFT JOIN f ON l.line = f.line LEFT JOIN near ON l.line = near.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near) AS n_near,
+  CAST(length(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT exact AND NOT near), '')) AS BIGINT) AS kept_chars,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT exact AND NOT near), '')) AS kept_sha256
+FROM k GROUP BY doc_id""",
     "op2_sorted_projections": f"""
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
