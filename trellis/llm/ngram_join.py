@@ -4,9 +4,10 @@ A text's set holds its distinct `n`-word shingles. Texts with equal sets form a
 takes part once. Two sets of Jaccard similarity t share a token among the first |x| - ceil(t |x|) + 1 of either under any
 one order of all tokens, so candidates must do so under each of several orders:
 
-1. Rarest first, over the corpus. A fixed sixth of all tokens (by hash) comes first, by document frequency; the rest
-   follows by hash, which a prefix reaches in short texts only. A token that one document has joins nothing, so most texts
-   are left without a token here and are done. What shares a token is grouped: the components of token buckets.
+1. Rarest first, over the corpus. In small sets all tokens, in larger ones a half or a quarter (by hash) come first, by
+   document frequency; the rest follows by hash, which a prefix seldom reaches. A token that one document has joins
+   nothing, so most texts are left without a token here and are done. What shares a token and is of like size is grouped:
+   the components of token buckets.
 2. Within a group, rarest first there, and two orders by independent hashes; the filters are intersected, with that of
    set sizes, before the sets of a pair are intersected and the link is decided exactly on 64-bit shingle hashes.
 
@@ -21,6 +22,7 @@ a set that only rows without an id have links with equal sets alone. Repeated ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,6 @@ from pyspark.sql import functions as F
 from trellis.llm.common import Sets, components, lean, mix, pieces_of, stored, text_buffer, text_of, word_hashes
 
 _SEEDS = [np.uint64(int(x)) for x in np.random.default_rng(7).integers(1, 2**63, 8)]
-_SHARE = np.uint64(6)
 
 
 def shingle_sets(column, n: int) -> list[np.ndarray]:
@@ -66,38 +67,44 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def _signatures(n: int):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+#: Set sizes from which one token in 2, then in 4 goes first. Sets on both sides of a border belong to both ranges as far as
+#: they can be similar, so that every pair meets within one range and thus under one order.
+_BORDERS = (60, 250)
 
-        for batch in batches:
-            for part in pieces_of(batch, 1):
-                sets = shingle_sets(part.column(1), n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.int64())], ["id", "n", "h"])
 
-    return run
+def ranges(percent: int) -> list[tuple[int, float, int]]:
+    """(least size, size above, share): one token in `share` goes first."""
+    ups = [*_BORDERS, float("inf")]
+    return [(percent * ups[k - 1] // 100 if k else 0, up, 2**k) for k, up in enumerate(ups)]
 
 
-def _tokens(n: int, percent: int):
-    """(h, size, own, tokens): a class's tokens of the first sixth, how many, and what else its prefix reaches."""
+def _told(n: int, percent: int):
+    """Per row: id, set size, class, and for a class that is new here, in each of its (one or two) ranges: how many of its
+    tokens go first, and these with what else its prefix reaches."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         seen: set[int] = set()
         for batch in batches:
-            for part in pieces_of(batch, 0):
-                rows = []
-                for s in shingle_sets(part.column(0), n):
-                    if len(s) and (h := _class(s)) not in seen:
+            for part in pieces_of(batch, 1):
+                cols: list[list] = [[] for _ in range(6)]
+                for s in shingle_sets(part.column(1), n):
+                    h, own = _class(s) if len(s) else None, []
+                    if h is not None and h not in seen:
                         seen.add(h)
-                        early = s % _SHARE == 0
-                        own, p = s[early], prefix_length(len(s), percent)
-                        more = s[~early][: max(0, p - len(own))]
-                        rows.append((h, len(s), len(own), _signed(np.concatenate((own, more)))))
+                        for k, (low, up, share) in enumerate(ranges(percent)):
+                            if low <= len(s) < up:
+                                early = s % np.uint64(share) == 0
+                                first = s[early]
+                                more = s[~early][: max(0, prefix_length(len(s), percent) - len(first))]
+                                own += [len(first), _signed(mix(np.concatenate((first, more)) + _SEEDS[k]))]
+                    for col, x in zip(cols, (len(s), h, *own, *[None] * (4 - len(own))), strict=True):
+                        col.append(x)
                 if len(seen) > 1_000_000:
                     seen.clear()  # a class that comes again is told twice, which later steps allow
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["h", "size", "own", "tokens"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols, kinds)], ["id", "n", "h", "own0", "tokens0", "own1", "tokens1"])
 
     return run
 
@@ -163,17 +170,23 @@ def _verifier(n: int, percent: int):
 def jaccard_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text", block: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs: component_id is the least id that links of at least percent/100 reach."""
     rows = docs.select(F.col(doc).cast("long").alias("id"), text_of(text).alias("text"))
-    signed = stored(rows.mapInArrow(_signatures(n), "id long, n long, h long"), "ngram-classes")
-    classes = stored(signed.where(F.col("h").isNotNull()).groupBy("h").agg(F.min("id").alias("least")), "ngram-least")
-
-    told = rows.select("text").mapInArrow(_tokens(n, percent), "h long, size long, own long, tokens array<long>")
-    posts = told.select("h", F.explode("tokens").alias("token"))
+    told = stored(rows.mapInArrow(_told(n, percent), "id long, n long, h long, own0 long, tokens0 array<long>, own1 long, tokens1 array<long>"), "ngram-tokens")
+    signed = told.select("id", "n", "h")
+    classes = stored(signed.where(F.col("h").isNotNull()).groupBy("h").agg(F.min("id").alias("least"), F.first("n").alias("n")), "ngram-classes")
+
+    # rarest first: what one document has is dropped from its prefix, which most texts lose whole
+    range_of = lambda k: told.where(F.col(f"own{k}").isNotNull()).select("h", F.lit(k).alias("r"), "n", F.col(f"own{k}").alias("own"), F.col(f"tokens{k}").alias("tokens"))
+    both = range_of(0).unionByName(range_of(1))
+    posts = both.select("h", "r", F.explode("tokens").alias("token"))
     common = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    own = posts.join(common, "token").groupBy("h").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t"))
-    sizes = told.select("h", "size", "own").groupBy("h").agg(F.first("size").alias("size"), F.first("own").alias("own"))
-    p = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1
+    shared = posts.join(common, "token").groupBy("h", "r").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t"))
+    sizes = both.groupBy("h", "r").agg(F.first("n").alias("n"), F.first("own").alias("own"))
+    p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     left = F.when(F.col("own") >= p, p - (F.col("own") - F.size("t"))).otherwise(F.size("t"))
-    prefix = stored(own.join(sizes, "h").where(left > 0).select("h", F.explode(F.transform(F.slice("t", 1, left.cast("int")), lambda x: x["token"])).alias("token")), "ngram-prefixes")
+    # sets that can be similar are of one or of neighbouring bands of size
+    band = F.floor(F.log(F.col("n")) / (math.log(100 / percent) + 1e-6))
+    prefix = shared.join(sizes, ["h", "r"]).where(left > 0).select("h", F.explode(F.transform(F.slice("t", 1, left.cast("int")), lambda x: x["token"])).alias("token"), band.alias("band"))
+    prefix = stored(prefix.select("h", F.explode(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") - 1))).alias("token")), "ngram-prefixes")
     buckets = prefix.groupBy("token").agg(F.min("h").alias("b"), F.max("h").alias("top")).where("b <> top").select("token", "b")
     groups = components(prefix.join(buckets, "token").select(F.col("h").alias("a"), "b"), "ngram-groups")
 
