@@ -108,7 +108,7 @@ def fit(texts: list[str], y: np.ndarray, weights: np.ndarray, *, bits: int = 17,
     """Joint training of embeddings and softmax by full-batch descent with momentum; every fifth text only calibrates.
 
     The first rounds average whole texts; later ones learn from the worst window of each text and, for clean texts, from
-    all of their windows. n-grams of fewer than `least` texts keep no embedding.
+    all of their windows. An empty text counts as clean. n-grams of fewer than `least` texts keep no embedding.
     """
     rng = np.random.default_rng(seed)
     if len(np.unique(y)) < 2:
@@ -120,28 +120,34 @@ def fit(texts: list[str], y: np.ndarray, weights: np.ndarray, *, bits: int = 17,
     fitted = [t.encode("utf-8", "replace") for t, p in zip(texts, part, strict=True) if not p]
     target = y[~part]
     balance = np.where(target > 0, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum()))
-    data, at = np.frombuffer(b"".join(fitted), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in fitted])))
-    text, begin = folded(data, at)
-    first, _, owner = windows(begin, size)
+    # n-grams by the half window that they begin in, a megabyte of text at a time; a window is the half it begins with and
+    # the next of its text
     half = size // 2
-    # n-grams by the half window that they begin in; a window is the half it begins with and the next of its text
-    start = begin[:-1]
-    halves = np.maximum(1, -(-np.diff(begin) // half))
-    base = np.cumsum(halves) - halves
-    cells, buckets = [], []
-    for where, bucket in grams(text, start, bits):
-        own = np.searchsorted(start, where, "right") - 1
-        cells.append((base[own] + (where - start[own]) // half).astype(np.int32))
-        buckets.append(bucket)
-    del text
-    cells, buckets = np.concatenate(cells), np.concatenate(buckets)
-    of_text = np.repeat(np.arange(len(start)), halves)
-    own = np.unique(buckets.astype(np.int64) * len(start) + of_text[cells]) // len(start)
-    own_texts = np.bincount(own, minlength=1 << bits)
-    total = int(halves.sum())
-    count = np.bincount(cells, minlength=total).astype(np.float64)
-    lead = base[owner] + (first - start[owner]) // half
-    follow = np.where(lead + 1 < base[owner] + halves[owner], lead + 1, -1)
+    bulk, owner, lead, follow, total, own_texts = [], [], [], [], 0, np.zeros(1 << bits, np.int64)
+    for group in _groups(fitted, 1 << 20):
+        data, at = np.frombuffer(b"".join(fitted[i] for i in group), np.uint8), np.concatenate(([0], np.cumsum([len(fitted[i]) for i in group])))
+        text, begin = folded(data, at)
+        first, _, of = windows(begin, size)
+        start, halves = begin[:-1], np.maximum(1, -(-np.diff(begin) // half))
+        base = np.cumsum(halves) - halves
+        cells, buckets = [], []
+        for where, bucket in grams(text, start, bits):
+            own = np.searchsorted(start, where, "right") - 1
+            cells.append((base[own] + (where - start[own]) // half).astype(np.int32))
+            buckets.append(bucket)
+            seen = np.unique(bucket.astype(np.int64) * len(group) + own) // len(group)
+            own_texts += np.bincount(seen, minlength=1 << bits)
+        n = int(halves.sum())
+        bulk.append((total, n, np.concatenate(cells) if cells else np.zeros(0, np.int32), np.concatenate(buckets) if buckets else np.zeros(0, np.int32)))
+        k = base[of] + (first - start[of]) // half
+        owner.append(of + group[0])
+        lead.append(total + k)
+        follow.append(np.where(k + 1 < base[of] + halves[of], total + k + 1, -1))
+        total += n
+    owner, lead, follow = map(np.concatenate, (owner, lead, follow))
+    forward = lambda v: np.concatenate([np.bincount(c, v[b], n) for _, n, c, b in bulk])
+    backward = lambda v: sum(np.bincount(b, v[at : at + n][c], 1 << bits) for at, n, c, b in bulk)
+    count = forward(np.ones(1 << bits))
     pair = lambda v: v[lead] + np.where(follow >= 0, v[follow], 0)
     size_w = np.maximum(_FEW, pair(count))
     opening = np.flatnonzero(np.concatenate(([True], np.diff(owner) > 0)))
@@ -155,7 +161,7 @@ def fit(texts: list[str], y: np.ndarray, weights: np.ndarray, *, bits: int = 17,
     e[~seen] = 0
     for k in range(rounds):
         s = e @ w
-        z = pair(np.bincount(cells, s[buckets], total)) / size_w + bias
+        z = pair(forward(s)) / size_w + bias
         pull = np.zeros(len(z))
         if k < rounds // 6:
             mean = np.add.reduceat(z, opening) / per_text
@@ -170,25 +176,39 @@ def fit(texts: list[str], y: np.ndarray, weights: np.ndarray, *, bits: int = 17,
         share = pull / size_w
         back = np.bincount(lead, share, total)
         back += np.bincount(follow[follow >= 0], share[follow >= 0], total)
-        g = np.bincount(buckets, back[cells], 1 << bits)
+        g = backward(back)
         # a step along the damped gradient, as long as it moves the logits by `rate` at most (the top hundredth apart)
         drift = 0.7 * drift - damp * g / (np.abs(damp * g).max() + 1e-30)
-        move = np.abs(pair(np.bincount(cells, drift[buckets], total)) / size_w)
+        move = np.abs(pair(forward(drift)) / size_w)
         step = rate * (1 - 0.9 * k / rounds) / (np.quantile(move, 0.99) + 1e-30)
         turn = e.T @ g
         e += (step * drift / (w @ w))[:, None] * w
         w -= 0.01 * turn / (np.linalg.norm(turn) + 1e-30)
-        bias -= rate * pull.sum()
+        bias -= rate * (pull.sum() + 0.5 * sigmoid(np.array(bias)))  # an empty text is one more clean example
     scores = (e @ w).astype(np.float32)
     model = Model(scores, float(bias), 1.0, 0.0, size)
     check = part if part.any() else ~part
     own = [t.encode("utf-8", "replace") for t, p in zip(texts, check, strict=True) if p]
-    raw = model.raw(np.frombuffer(b"".join(own), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in own]))))
-    model.scale, model.shift = calibrate(raw, y[check], weights[check], shift=True)
+    raw = np.concatenate([model.raw(np.frombuffer(b"".join(own[i] for i in g), np.uint8), np.concatenate(([0], np.cumsum([len(own[i]) for i in g])))) for g in _groups(own, 1 << 20)])
+    raw, truth, heft = np.append(raw, bias), np.append(y[check], 0.0), np.append(weights[check], 0.05 * weights[check].sum())
+    model.scale, model.shift = calibrate(raw, truth, heft, shift=True)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 1500) -> Model:
+def _groups(texts: list[bytes], most: int) -> Iterator[list[int]]:
+    """Numbers of consecutive texts of about `most` bytes together."""
+    group, held = [], 0
+    for i, t in enumerate(texts):
+        group.append(i)
+        held += len(t)
+        if held >= most:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 1200) -> Model:
     return fit(*sample(docs, labels, label, key=key, text=text, most=most))
 
 
@@ -202,7 +222,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in pieces_of(batch, 1, 4 << 20):
+            for part in pieces_of(batch, 1, 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.score(*text_buffer(part.column(1))), pa.float64())], ["_row", "score"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField("score", T.DoubleType())])).select("_row.*", "score")
