@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from trellis.llm.common import stored
+from trellis.llm.common import lean, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_classes(docs)
-    gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).distinct()
+    # only the few ids that say something: members that go, and ids of several rows, whose equal rows become one
+    marks = stored(found.where("id is not null").groupBy("id").agg(F.count("*").alias("rows"), F.max(F.col("id") != F.col("component_id")).alias("goes")).where("rows > 1 or goes"), "pipeline-marks")
+    marked = docs.join(lean(marks.select(F.col("id").alias("doc_id"), "rows", "goes"), 1_000_000), "doc_id", "left")
+    once = marked.where("not goes and rows > 1").dropDuplicates(["doc_id", "text"])
+    return marked.where("rows is null").unionByName(once).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

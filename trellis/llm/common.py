@@ -123,7 +123,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), at - at[0]
 
 
-def pieces_of(batch, column: int, most: int = 8 << 20) -> Iterator:
+def pieces_of(batch, column: int, most: int = 2 << 20) -> Iterator:
     """A record batch cut into slices of about `most` bytes of text at least one row each, so arrays stay small."""
     col = batch.column(column)
     _, at = text_buffer(col)
