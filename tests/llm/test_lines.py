@@ -2,7 +2,6 @@ import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from trellis.llm import line_dedup
 
@@ -21,8 +20,8 @@ def distance(a, b):
 def test_banded_distance(spark, pairs):
     df = spark.createDataFrame(pairs, "a string, b string")
     for t in (1, 2, 3):
-        got = df.select("a", "b", line_dedup.edit_distance_within(F.col("a"), F.col("b"), t).alias("near")).collect()
-        assert all(r.near == (distance(r.a, r.b) <= t) for r in got)
+        got = line_dedup.edit_distance_within(df, "a", "b", t).collect()
+        assert all(r._near == (distance(r.a, r.b) <= t) for r in got)
 
 
 def brute(rows, edits, least):

@@ -7,7 +7,7 @@ Near lines are found by segment partition. Of two lines within t edits, one's t
 one of them is a substring of the other. Every line indexes its segments under (its length, segment number, content) and
 probes, for each length from its own down to t shorter, the substrings that a segment could equal: only start positions
 within the shift that the segment's number and the two lengths allow (the multi-match-aware window). Keys are 64-bit
-hashes. Candidates are verified by banded bit-parallel edit distance: the 2t + 1 diagonals around the main one are the bits
+hashes. Candidates must have like numbers of letters and are then verified by banded bit-parallel edit distance: the 2t + 1 diagonals around the main one are the bits
 of a word, and a character of the text moves all of them on with a dozen word operations.
 
 Scale: only hashes, positions and keys are shuffled, never texts; equal lines are merged (by a partial aggregate) before
@@ -27,47 +27,66 @@ from pyspark.sql import functions as F
 from trellis.llm.common import smaller_than, stored, text_of
 
 
-def edit_distance_within(a: Column, b: Column, t: int) -> Column:
-    """Whether the edit distance of two strings is at most t, by the banded bit-parallel recurrence in one aggregate.
+def edit_distance_within(df: DataFrame, a: str, b: str, t: int) -> DataFrame:
+    """df with `_near`: whether the edit distance of columns a and b is at most t, by the banded bit-parallel recurrence.
 
     At character j of b, bit k of a word stands for row j - t + k of the pattern a. The distance is followed down the
-    lowest diagonal of the band until that leaves the pattern, then along the pattern's last row.
+    lowest diagonal of the band until that leaves the pattern, then along the pattern's last row; it cannot come back from
+    more than `_most` on the diagonal, and then nothing more is worked out. Characters and the words that say where they
+    match are columns of their own, so that each is made once and the recurrence carries four numbers.
     """
     width = 2 * t + 1
     full = (1 << width) - 1
+    pad = F.array_repeat(F.lit(None).cast("string"), t)
+    df = df.withColumns({"_p": F.concat(pad, F.split(a, "")), "_q": F.split(b, ""), "_m": F.length(a), "_n": F.length(b)})
 
-    def step(s: Column, j: Column) -> Column:
+    def match(c: Column, j: Column) -> Column:
         eq = F.lit(0)
         for k in range(width):
-            eq = eq.bitwiseOR(F.when(F.get(s["p"], j + k) == F.get(s["q"], j), 1 << k).otherwise(0))
-        return F.struct(s.alias("s"), eq.alias("eq"), j.alias("j"))
+            eq = eq.bitwiseOR(F.when(F.get("_p", j + k) == c, 1 << k).otherwise(0))
+        return eq
+
+    df = df.withColumns({"_eq": F.transform("_q", match), "_most": F.col("_n") - F.col("_m") + 2 * t})
 
-    def diagonals(x: Column) -> Column:
-        s, eq = x["s"], x["eq"]
+    def diagonals(s: Column, eq: Column) -> Column:
         d0 = (eq.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(eq).bitwiseOR(s["vn"]).bitwiseAND(full)
-        return F.struct(s.alias("s"), d0.alias("d0"), x["j"].alias("j"))
+        return F.struct(*(s[c].alias(c) for c in ("j", "vp", "vn", "score")), d0.alias("d0"))
+
+    def across(x: Column) -> Column:
+        hp = x["vn"].bitwiseOR(F.bitwise_not(x["d0"].bitwiseOR(x["vp"])).bitwiseAND(full))
+        return F.struct(x["j"].alias("j"), x["d0"].alias("d0"), hp.alias("hp"), x["d0"].bitwiseAND(x["vp"]).alias("hn"), F.shiftright(x["d0"], 1).alias("down"), x["score"].alias("score"))
 
     def advance(x: Column) -> Column:
-        s, d0, j = x["s"], x["d0"], x["j"]
-        hp = s["vn"].bitwiseOR(F.bitwise_not(d0.bitwiseOR(s["vp"])).bitwiseAND(full))
-        hn, down = d0.bitwiseAND(s["vp"]), F.shiftright(d0, 1)
-        low = F.when(d0.bitwiseAND(1 << (width - 1)) == 0, 1).otherwise(0)
-        last = F.call_function("shiftleft", F.lit(1), s["m"] - 1 - j + t)
-        row = F.when(hp.bitwiseAND(last) != 0, 1).when(hn.bitwiseAND(last) != 0, -1).otherwise(0)
+        low = F.when(x["d0"].bitwiseAND(1 << (width - 1)) == 0, 1).otherwise(0)
+        last = F.call_function("shiftleft", F.lit(1), F.col("_m") - 1 - x["j"] + t)
+        row = F.when(x["hp"].bitwiseAND(last) != 0, 1).when(x["hn"].bitwiseAND(last) != 0, -1).otherwise(0)
         return F.struct(
-            *(s[c].alias(c) for c in "pqm"),
-            hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(full)).alias("vp"),
-            down.bitwiseAND(hp).alias("vn"),
-            (s["score"] + F.when(j + t < s["m"], low).otherwise(row)).alias("score"),
+            (x["j"] + 1).alias("j"),
+            x["hn"].bitwiseOR(F.bitwise_not(x["down"].bitwiseOR(x["hp"])).bitwiseAND(full)).alias("vp"),
+            x["down"].bitwiseAND(x["hp"]).alias("vn"),
+            (x["score"] + F.when(x["j"] + t < F.col("_m"), low).otherwise(row)).alias("score"),
         )
 
     # a lambda's argument stands for a value, an expression is worked out wherever it stands: bind each step's results
     bound = lambda value, f: F.get(F.transform(F.array(value), f), 0)
-    pad = F.array_repeat(F.lit(None).cast("string"), t)
-    start = F.struct(F.concat(pad, F.split(a, "")).alias("p"), F.split(b, "").alias("q"), F.length(a).alias("m"), F.lit(((1 << (t + 1)) - 1) << t).alias("vp"), F.lit(0).alias("vn"), F.least(F.lit(t), F.length(a)).alias("score"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), start, lambda s, j: bound(bound(step(s, j), diagonals), advance), lambda s: s["score"])
-    far = F.abs(F.length(a) - F.length(b)) > t
-    return F.when(far, False).when((F.length(a) == 0) | (F.length(b) == 0), True).otherwise(walked <= t)
+    start = F.struct(F.lit(0).alias("j"), F.lit(((1 << (t + 1)) - 1) << t).alias("vp"), F.lit(0).alias("vn"), F.least(F.lit(t), F.col("_m")).alias("score"))
+    walked = F.aggregate("_eq", start, lambda s, eq: F.when(s["score"] > F.col("_most"), s).otherwise(bound(bound(diagonals(s, eq), across), advance)), lambda s: s["score"])
+    far = F.abs(F.col("_m") - F.col("_n")) > t
+    near = F.when(far, False).when((F.col("_m") == 0) | (F.col("_n") == 0), True).otherwise(walked <= t)
+    return df.withColumn("_near", near).drop("_p", "_q", "_m", "_n", "_eq", "_most")
+
+
+#: Letters whose numbers are compared before verification; any set would do.
+_LETTERS = "enatrsiohd"
+
+
+def like_letters(a: Column, b: Column, t: int) -> Column:
+    """A necessary condition: an edit changes the numbers of letters by two at most in all."""
+    number = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x)))
+    total = F.lit(0)
+    for x in _LETTERS:
+        total = total + F.abs(number(a, x) - number(b, x))
+    return total <= 2 * t
 
 
 def _segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
@@ -93,21 +112,23 @@ def probe_keys(line: Column, t: int) -> Column:
             for shift in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1):
                 fits = (at + shift >= 0) & (at + shift + n <= F.length(line))
                 own.append(F.when(fits, F.xxhash64(length, F.lit(i), F.substr(line, at + shift + 1, n))))
-    return F.array_distinct(F.array_compact(F.array(*own)))
+    return F.array(*own)
 
 
 def near_lines(lines: DataFrame, texts, *, edits: int) -> DataFrame:
     """(au, ap, bu, bp): pairs of different lines within `edits` edits. lines: (u, p, line); texts(at) fetches the lines at (u, p)."""
     index = lines.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), F.col("u").alias("au"), F.col("p").alias("ap"))
     probe = lines.select(F.explode(probe_keys(F.col("line"), edits)).alias("key"), F.col("u").alias("bu"), F.col("p").alias("bp"))
-    met = index.join(probe, "key").where("au <> bu or ap <> bp")
+    met = index.join(probe.where("key is not null"), "key").where("au <> bu or ap <> bp")
     turned = F.struct(F.col("au"), F.col("ap")) > F.struct(F.col("bu"), F.col("bp"))
     pairs = met.select(*(F.when(turned, F.col(y + c)).otherwise(F.col(x + c)).alias(x + c) for x, y in ("ab", "ba") for c in "up"))
     pairs = stored(pairs.distinct(), "line-candidates")
     held = stored(texts(pairs.select(F.col("au").alias("u"), F.col("ap").alias("p")).union(pairs.select("bu", "bp")).distinct()), "line-texts")
     a, b = (held.select(F.col("u").alias(f"{x}u"), F.col("p").alias(f"{x}p"), F.col("line").alias(f"{x}line")) for x in "ab")
     both = pairs.join(a, ["au", "ap"]).join(b, ["bu", "bp"]).where("aline <> bline")
-    return both.where(edit_distance_within(F.col("aline"), F.col("bline"), edits)).select("au", "ap", "bu", "bp")
+    both = both.where((F.abs(F.length("aline") - F.length("bline")) <= edits) & like_letters(F.col("aline"), F.col("bline"), edits))
+    # not a filter: one would be moved below, and take every column it rests on apart into expressions worked out per step
+    return edit_distance_within(both, "aline", "bline", edits).select("au", "ap", "bu", "bp", F.explode(F.when(F.col("_near"), F.array(F.lit(1))))).drop("col")
 
 
 def dedup_lines(docs: DataFrame, *, edits: int = 2, least: int = 20, doc: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
