@@ -23,28 +23,34 @@ from trellis.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
 from trellis.llm.common import lean, stored
 
 
+def _boxed(docs: DataFrame) -> DataFrame:
+    """docs as (_all, doc_id, text): whole rows in one column, so that no column of theirs meets one that an operator adds."""
+    return docs.select(F.struct("*").alias("_all"), "doc_id", "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+    return toxicity.score(_boxed(docs), model).where("score < 0.5").select("_all.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(_boxed(docs))
     lost = (F.col("n_exact") + F.col("n_near") > 0) & (F.trim("kept_text") == "")
-    return out.where(~lost).withColumns({"text": F.when(F.col("text").isNotNull(), F.col("kept_text")), "n_chars": F.when(F.col("text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    changed = F.col("_all").withField("text", F.col("kept_text")).withField("n_chars", F.length("kept_text").cast("long"))
+    return out.where(~lost).select(F.when(F.col("text").isNotNull(), changed).otherwise(F.col("_all")).alias("_all")).select("_all.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_classes(docs)
     # only the few ids that say something: members that go, and ids of several rows, whose equal rows become one
     marks = stored(found.where("id is not null").groupBy("id").agg(F.count("*").alias("rows"), F.max(F.col("id") != F.col("component_id")).alias("goes")).where("rows > 1 or goes"), "pipeline-marks")
-    marked = docs.join(lean(marks.select(F.col("id").alias("doc_id"), "rows", "goes"), 1_000_000), "doc_id", "left")
+    marked = _boxed(docs).join(lean(marks.withColumnRenamed("id", "doc_id"), 1_000_000), "doc_id", "left")
     once = marked.where("not goes and rows > 1").dropDuplicates(["doc_id", "text"])
-    return marked.where("rows is null").unionByName(once).select(*docs.columns)
+    return marked.where("rows is null").unionByName(once).select("_all.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0").select(*docs.columns)
+    return decontaminate.scan(_boxed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0").select("_all.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,14 +66,14 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     passage, line = fresh(60), fresh(12)
     base = fresh(80)
     planted = [(1000, base), (1001, base.replace(base.split()[3], "changed")), (1002, passage + " " + fresh(40)), (1003, line + "\n" + fresh(50)), (1004, line + "x\n" + fresh(50)), (1005, line), (1006, "grumpfta grumpfri grumpfno ta"), (1007, fresh(70)), (None, fresh(30)), (1008, None)]
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in docs + planted]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, t, "en", "s", len(t or ""), "mine", "mine") for i, t in docs + planted]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, rows string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     df, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, str(tmp_path))
-        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "rows"]
         path = f"{tmp_path}/stage{len(kept)}"
         df.write.parquet(path)
         df = spark.read.parquet(path)
@@ -82,5 +82,6 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert 1005 not in kept[1] and "\n" not in kept[1][1004].text and kept[1][1004].n_chars == len(kept[1][1004].text) and "\n" in kept[1][1003].text
     assert 1000 in kept[2] and 1001 not in kept[2]
     assert 1002 in kept[2] and 1002 not in kept[3] and {1007, None, 1008} <= kept[3].keys()
+    assert {r.score + r["rows"] for r in kept[3].values()} == {"minemine"}
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == kept[3].keys()

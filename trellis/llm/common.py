@@ -48,6 +48,15 @@ def lean(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if smaller_than(df, rows) else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of at most so many rows, for this session: Spark's default of 10,000 would hold
+    tens of megabytes of text a batch on either side of the pipe. A lower setting is left alone; results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_of(name: str) -> Column:
     """A text column as a string, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -123,7 +132,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), at - at[0]
 
 
-def pieces_of(batch, column: int, most: int = 2 << 20) -> Iterator:
+def pieces_of(batch, column: int, most: int = 1 << 20) -> Iterator:
     """A record batch cut into slices of about `most` bytes of text at least one row each, so arrays stay small."""
     col = batch.column(column)
     _, at = text_buffer(col)

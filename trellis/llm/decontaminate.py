@@ -23,7 +23,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import stored, text_of
+from trellis.llm.common import small_batches, stored, text_of
 
 #: Bytes to words: A-Z lowered, other ASCII besides letters and digits is a gap, all else belongs to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -112,6 +112,7 @@ def scan(docs: DataFrame, items: DataFrame, *, window: int = 10, text: str = "te
     Columns of docs keep their places; one that has an added column's name is replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = items.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where(F.col("t").isNotNull())
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first().n
     blocks = -(-total // block_chars) or 1

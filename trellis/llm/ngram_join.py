@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import Sets, components, lean, mix, pieces_of, stored, text_buffer, text_of, word_hashes
+from trellis.llm.common import Sets, components, lean, mix, pieces_of, small_batches, stored, text_buffer, text_of, word_hashes
 
 _SEEDS = [np.uint64(int(x)) for x in np.random.default_rng(7).integers(1, 2**63, 8)]
 
@@ -169,6 +169,7 @@ def _verifier(n: int, percent: int):
 
 def jaccard_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text", block: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs: component_id is the least id that links of at least percent/100 reach."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc).cast("long").alias("id"), text_of(text).alias("text"))
     told = stored(rows.mapInArrow(_told(n, percent), "id long, n long, h long, own0 long, tokens0 array<long>, own1 long, tokens1 array<long>"), "ngram-tokens")
     signed = told.select("id", "n", "h")

@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellis.llm.common import text_of
+from trellis.llm.common import small_batches, text_of
 
 _SPECIAL = "<|endoftext|>"
 _ENCODERS: dict[str, object] = {}
@@ -40,7 +41,7 @@ def encoder(path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
-        slow = Tokenizer.from_file(path)
+        slow = cache(lambda: Tokenizer.from_file(path))  # read only if a text needs it
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # how byte-level BPE writes bytes as characters
@@ -49,7 +50,7 @@ def encoder(path: str):
         ranks = {bytes(as_byte[c] for c in piece): i for piece, i in vocab.items() if piece != _SPECIAL}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         fast = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _ENCODERS[path] = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32) if _SPECIAL in text else np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        _ENCODERS[path] = lambda text: np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32) if _SPECIAL in text else np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
     return _ENCODERS[path]
 
 
@@ -119,6 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, end_id: int = 0,
 
     tokenizer is the path of a tokenizers file on every machine. Windows hold `size` ids.
     """
+    small_batches(docs.sparkSession)
     kinds = docs.select(F.col(doc).alias("doc_id")).schema
 
     def run(batches: Iterator) -> Iterator:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellis.llm.common import _BASE, _BASE_INV, _powers, mix, pieces_of, text_buffer, text_of
+from trellis.llm.common import _BASE, _BASE_INV, _powers, mix, pieces_of, small_batches, text_buffer, text_of
 from trellis.llm.labels import calibrate, sample, sigmoid
 
 _RAW = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
@@ -75,6 +75,7 @@ def summed(rows: np.ndarray, text: np.ndarray, table: np.ndarray, index: np.ndar
 
 def word_vectors(docs: DataFrame, *, text: str = "text", bits: int = 14, dims: int = 32) -> np.ndarray:
     """Unit word vectors from all documents."""
+    small_batches(docs.sparkSession)
 
     def partial(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -180,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Network, *, text: str = "text") -> DataFrame:
     """docs with `score` added (a column of that name is replaced)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != "score"]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), text_of(text).alias("_text"))

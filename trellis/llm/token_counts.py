@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellis.llm.common import text_of
+from trellis.llm.common import small_batches, text_of
 
 MARK = "▁"
 _BYTE_PENALTY = -20.0
@@ -66,6 +66,7 @@ def count_words(words: Iterable[str], model: dict[str, float]) -> dict[str, int]
 
 def token_counts(docs: DataFrame, vocabulary: str, *, text: str = "text", most_words: int = 2_000_000) -> DataFrame:
     """docs with `n_pretokens` and `n_tokens` added (columns of these names are replaced)."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_pretokens", "n_tokens")]
 
     def run(batches: Iterator) -> Iterator:

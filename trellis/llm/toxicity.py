@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellis.llm.common import _BASE, _BASE_INV, _BYTE, _powers, mix, pieces_of, text_buffer, text_of
+from trellis.llm.common import _BASE, _BASE_INV, _BYTE, _powers, mix, pieces_of, small_batches, text_buffer, text_of
 from trellis.llm.labels import calibrate, sample, sigmoid
 
 GRAMS = (4, 5, 6)
@@ -214,6 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """docs with `score` added (a column of that name is replaced)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != "score"]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), text_of(text).alias("_text"))
