@@ -7,7 +7,7 @@ Near lines are found by segment partition. Of two lines within t edits, one's t
 one of them is a substring of the other. Every line indexes its segments under (its length, segment number, content) and
 probes, for each length from its own down to t shorter, the substrings that a segment could equal: only start positions
 within the shift that the segment's number and the two lengths allow (the multi-match-aware window). Keys are 64-bit
-hashes. Candidates must have like numbers of letters and are then verified by banded bit-parallel edit distance: the 2t + 1 diagonals around the main one are the bits
+hashes. Candidates must, within that join, have like numbers of letters, and are then verified by banded bit-parallel edit distance: the 2t + 1 diagonals around the main one are the bits
 of a word, and a character of the text moves all of them on with a dozen word operations.
 
 Scale: only hashes, positions and keys are shuffled, never texts; equal lines are merged (by a partial aggregate) before
@@ -76,69 +76,79 @@ def edit_distance_within(df: DataFrame, a: str, b: str, t: int) -> DataFrame:
     return df.withColumn("_near", near).drop("_p", "_q", "_m", "_n", "_eq", "_most")
 
 
-#: Letters whose numbers are compared before verification; any set would do.
-_LETTERS = "enatrsiohd"
+#: Letters whose numbers are compared before verification, four bits of a long for each; any sixteen would do.
+_LETTERS = "enatrsiohdlucmgb"
 
 
-def like_letters(a: Column, b: Column, t: int) -> Column:
-    """A necessary condition: an edit changes the numbers of letters by two at most in all."""
-    number = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x)))
-    total = F.lit(0)
-    for x in _LETTERS:
-        total = total + F.abs(number(a, x) - number(b, x))
+def letter_counts(line: Column) -> Column:
+    """How often each of sixteen letters stands in a line, modulo 16, in one long."""
+    out = F.lit(0).cast("long")
+    for k, x in enumerate(_LETTERS):
+        out = out.bitwiseOR(F.shiftleft(((F.col("_bytes") - F.octet_length(F.replace(line, F.lit(x)))) % 16).cast("long"), 4 * k))
+    return out
+
+
+def like_letters(a: str, b: str, t: int) -> Column:
+    """A necessary condition on letter counts: an edit changes the numbers of letters by two at most in all."""
+    total = F.lit(0).cast("long")
+    for k in range(len(_LETTERS)):
+        apart = F.abs(F.shiftrightunsigned(a, 4 * k).bitwiseAND(15) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(15))
+        total = total + F.least(apart, 16 - apart)
     return total <= 2 * t
 
 
-def _segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of t + 1 even ones, the longer ones last."""
-    base, longer = F.floor(length / (t + 1)).cast("int"), (length % (t + 1)).cast("int")
-    return i * base + F.greatest(F.lit(0), i - (t + 1) + longer), base + F.when(i >= t + 1 - longer, 1).otherwise(0)
+def measured(lines: DataFrame, t: int) -> DataFrame:
+    """lines with what keys are made of, each worked out once a line: length, letters, and how the line (and one that is
+    up to t characters shorter) is cut into t + 1 even segments, the longer ones last."""
+    lines = lines.withColumns({"_long": F.length("line"), "_bytes": F.octet_length("line")}).withColumn("letters", letter_counts(F.col("line")))
+    return lines.withColumns({f"_{c}{d}": F.expr(f"cast((_long - {d}) {sign} {t + 1} as int)") for d in range(t + 1) for c, sign in (("base", "div"), ("rest", "%"))})
+
 
+def _key(d: int, i: int, t: int, shift: int) -> Column:
+    """The key of segment i of lines d shorter, taken `shift` characters later than it begins there."""
+    base, rest = F.col(f"_base{d}"), F.col(f"_rest{d}")
+    at = i * base + F.greatest(F.lit(0), rest - (t + 1 - i)) if i else F.lit(0)
+    return F.xxhash64(F.col("_long") - d, F.lit(i), F.substr(F.col("line"), at + shift + 1, base + (rest >= t + 1 - i).cast("int")))
 
-def index_keys(line: Column, t: int) -> Column:
-    own = []
-    for i in range(t + 1):
-        at, n = _segment(F.length(line), i, t)
-        own.append(F.xxhash64(F.length(line), F.lit(i), F.substr(line, at + 1, n)))
-    return F.array(*own)
 
+def index_keys(t: int) -> Column:
+    return F.array(*(_key(0, i, t, 0) for i in range(t + 1)))
 
-def probe_keys(line: Column, t: int) -> Column:
-    own = []
-    for d in range(t + 1):  # how much shorter the indexed line is
-        length = F.length(line) - d
-        for i in range(t + 1):
-            at, n = _segment(length, i, t)
-            for shift in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1):
-                fits = (at + shift >= 0) & (at + shift + n <= F.length(line))
-                own.append(F.when(fits, F.xxhash64(length, F.lit(i), F.substr(line, at + shift + 1, n))))
-    return F.array(*own)
+
+def probe_keys(t: int) -> Column:
+    return F.array(*(_key(d, i, t, shift) for d in range(t + 1) for i in range(t + 1) for shift in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)))
 
 
 def near_lines(lines: DataFrame, texts, *, edits: int) -> DataFrame:
-    """(au, ap, bu, bp): pairs of different lines within `edits` edits. lines: (u, p, line); texts(at) fetches the lines at (u, p)."""
-    index = lines.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), F.col("u").alias("au"), F.col("p").alias("ap"))
-    probe = lines.select(F.explode(probe_keys(F.col("line"), edits)).alias("key"), F.col("u").alias("bu"), F.col("p").alias("bp"))
-    met = index.join(probe.where("key is not null"), "key").where("au <> bu or ap <> bp")
+    """(aid, au, ap, bid, bu, bp): pairs of different lines within `edits` edits.
+
+    lines: (u, p, line); texts(at) fetches (id, u, p, line) of the lines at (u, p).
+    """
+    lines = measured(lines, edits)
+    index = lines.select(F.explode(index_keys(edits)).alias("key"), F.col("u").alias("au"), F.col("p").alias("ap"), F.col("letters").alias("al"))
+    probe = lines.select(F.explode(probe_keys(edits)).alias("key"), F.col("u").alias("bu"), F.col("p").alias("bp"), F.col("letters").alias("bl"))
+    apart = (F.col("au") != F.col("bu")) | (F.col("ap") != F.col("bp"))
+    met = index.withColumnRenamed("key", "k").join(probe, (F.col("k") == F.col("key")) & apart & like_letters("al", "bl", edits))
     turned = F.struct(F.col("au"), F.col("ap")) > F.struct(F.col("bu"), F.col("bp"))
     pairs = met.select(*(F.when(turned, F.col(y + c)).otherwise(F.col(x + c)).alias(x + c) for x, y in ("ab", "ba") for c in "up"))
     pairs = stored(pairs.distinct(), "line-candidates")
     held = stored(texts(pairs.select(F.col("au").alias("u"), F.col("ap").alias("p")).union(pairs.select("bu", "bp")).distinct()), "line-texts")
-    a, b = (held.select(F.col("u").alias(f"{x}u"), F.col("p").alias(f"{x}p"), F.col("line").alias(f"{x}line")) for x in "ab")
+    a, b = (held.select(*(F.col(c).alias(x + c) for c in ("u", "p", "id", "line"))) for x in "ab")
     both = pairs.join(a, ["au", "ap"]).join(b, ["bu", "bp"]).where("aline <> bline")
-    both = both.where((F.abs(F.length("aline") - F.length("bline")) <= edits) & like_letters(F.col("aline"), F.col("bline"), edits))
     # not a filter: one would be moved below, and take every column it rests on apart into expressions worked out per step
-    return edit_distance_within(both, "aline", "bline", edits).select("au", "ap", "bu", "bp", F.explode(F.when(F.col("_near"), F.array(F.lit(1))))).drop("col")
+    return edit_distance_within(both, "aline", "bline", edits).select("aid", "au", "ap", "bid", "bu", "bp", F.explode(F.when(F.col("_near"), F.array(F.lit(1))))).drop("col")
 
 
 def dedup_lines(docs: DataFrame, *, edits: int = 2, least: int = 20, doc: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs with `kept_text`, `n_lines`, `n_exact` and `n_near` (lines dropped as equal or near to an earlier one) added."""
+    if least <= 2 * edits:
+        raise ValueError("lines must be longer than twice the edits for segments to exist and windows to fit")
     names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_exact", "n_near")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(doc).cast("long").alias("id"), text_of(text).alias("text"))
     rows = rows.withColumn("u", F.when(F.col("id").isNotNull(), F.xxhash64("id", "text")))
     split = rows.where(F.col("u").isNotNull()).select("id", "u", F.split("text", "\n", -1).alias("lines"))
     lines = split.select("id", "u", F.posexplode("lines").alias("p", "line")).where(F.length("line") >= least)
-    seen = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), "id", "u", "p")
+    seen = stored(lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), "id", "u", "p"), "line-seen")
     firsts = stored(seen.groupBy("h1", "h2").agg(F.min(F.struct("id", "u", "p")).alias("f")).select("h1", "h2", F.col("f.id").alias("fid"), F.col("f.u").alias("fu"), F.col("f.p").alias("fp")), "line-firsts")
     again = stored(seen.join(firsts, ["h1", "h2"]).where("u <> fu or p <> fp").select("u", "p").distinct(), "line-again")
 
@@ -152,11 +162,8 @@ def dedup_lines(docs: DataFrame, *, edits: int = 2, least: int = 20, doc: str =
         return split.join(F.broadcast(wanted) if smaller_than(at, broadcast_rows) else wanted, "u").select("id", "u", F.explode("at").alias("p"), "lines").select("id", "u", "p", F.get("lines", F.col("p")).alias("line")).distinct()
 
     pairs = stored(near_lines(once, texts, edits=edits), "line-pairs")
-    ids = pairs.select(F.col("au").alias("u")).union(pairs.select("bu")).distinct()
-    ids = split.select("u", "id").join(F.broadcast(ids) if smaller_than(ids, broadcast_rows) else ids, "u", "left_semi").distinct()
-    x, y = (ids.select(F.col("u").alias(f"{k}u"), F.col("id").alias(f"{k}id")) for k in "ab")
     order = F.struct("aid", "au", "ap") < F.struct("bid", "bu", "bp")
-    near = stored(pairs.join(x, "au").join(y, "bu").select(F.when(order, F.col("bu")).otherwise(F.col("au")).alias("u"), F.when(order, F.col("bp")).otherwise(F.col("ap")).alias("p")).distinct(), "line-near")
+    near = stored(pairs.select(F.when(order, F.col("bu")).otherwise(F.col("au")).alias("u"), F.when(order, F.col("bp")).otherwise(F.col("ap")).alias("p")).distinct(), "line-near")
 
     gone = again.select("u", "p", F.lit(0).alias("near")).union(near.select("u", "p", F.lit(1).alias("near")))
     drops = gone.groupBy("u").agg(F.collect_list("p").alias("gone"), F.sum("near").alias("n_near"))
