@@ -76,12 +76,12 @@ def edit_distance_within(df: DataFrame, a: str, b: str, t: int) -> DataFrame:
     return df.withColumn("_near", near).drop("_p", "_q", "_m", "_n", "_eq", "_most")
 
 
-#: Letters whose numbers are compared before verification, four bits of a long for each; any sixteen would do.
-_LETTERS = "enatrsiohdlucmgb"
+#: Letters whose numbers are compared before verification, four bits of a long for each; any fifteen would do.
+_LETTERS = "natrsiohdlucmgb"
 
 
 def letter_counts(line: Column) -> Column:
-    """How often each of sixteen letters stands in a line, modulo 16, in one long."""
+    """How often each of fifteen letters stands in a line, modulo 16, in one long."""
     out = F.lit(0).cast("long")
     for k, x in enumerate(_LETTERS):
         out = out.bitwiseOR(F.shiftleft(((F.col("_bytes") - F.octet_length(F.replace(line, F.lit(x)))) % 16).cast("long"), 4 * k))
