@@ -1,8 +1,10 @@
+import duckdb
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trellis.llm import chat
+from trellis.llm.queries import ORACLES, op3_chat_trees
 
 TEXT = st.lists(st.sampled_from(["<", "|", "\\", "im_end|>", "im_start|>", "\n", "a", "é", "🙂", "assistant", "s", "n"]), max_size=12).map("".join)
 
@@ -33,3 +35,14 @@ def test_nulls_ties_long_threads_and_empty(spark):
     assert [tuple(x) for x in got[1].read] == [("", ""), ("user", "a"), ("user", "a"), ("user", "b")]
     assert [x.text for x in got[2].read] == [str(i) for i in range(300)]
     assert chat.format_trees(chat.threads(df.limit(0))).collect() == []
+
+
+def test_turns_of_the_null_key_equal_the_sql(spark, tmp_path):
+    rows = [(None, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(9)] + [(5, 0, "user", "one"), (5, 1, "assistant", "two")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    want = sorted(con.execute(ORACLES["op3_chat_trees"]).fetchall(), key=key)
+    got = sorted((tuple(r) for r in op3_chat_trees(spark, str(tmp_path)).collect()), key=key)
+    assert got == want and want[0][:2] == (None, 9)

@@ -10,7 +10,7 @@ escaped too. `loss_spans` are the code-point spans of the escaped assistant text
 
 A conversation is one row of output, and no more than its own turns ever meet in a task. Edge cases: null text and role
 are empty; turns tie-break by role and text; a repeated row is a turn of its own; an empty table gives no rows; a message
-whose parent is missing is a root.
+whose parent is missing is a root; the null key is a tree like any other.
 """
 
 from __future__ import annotations
@@ -50,9 +50,9 @@ def threads(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role
 def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, up): every ancestor of every leaf and how far up it is, the leaf itself included at 0."""
     links = stored(messages.select("tree", "node", "parent"), "chat-links")
-    known = links.select("tree", F.col("node").alias("parent"))
-    jump = links.join(known, ["tree", "parent"], "left_semi").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("parent").alias("to"))
     same = F.col("tree").eqNullSafe(F.col("t"))
+    known = links.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    jump = links.join(known, same & (F.col("parent") == F.col("n")), "left_semi").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("parent").alias("to"))
     leaves = links.join(jump.select("t", F.col("to").alias("n")).distinct(), same & (F.col("node") == F.col("n")), "left_anti")
     found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     reach = 1
