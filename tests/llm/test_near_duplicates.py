@@ -88,3 +88,20 @@ def test_vectors_recall_and_counts(spark):
     assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(2000, 2006)] == [(0, i, True) for i in range(2000, 2006)]
     assert (got[2006].n_links, got[2007].component_id, got[2007].kept) == (1, 2006, False)
     assert vectors.near_vectors(df.limit(0)).collect() == []
+
+
+def test_vector_passes_go_on_until_recall_is_met(spark):
+    rng = np.random.default_rng(6)
+    cone = rng.standard_normal(32)
+    x = rng.standard_normal((900, 32))
+    x[:600] = 1.5 * cone / np.linalg.norm(cone) + x[:600] / np.linalg.norm(x[:600], axis=1, keepdims=True)  # cosines about 0.7
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    twins = x[:500] + rng.standard_normal((500, 32)) * 0.45 / 32**0.5
+    y = np.vstack([x, twins]).astype(np.float32)
+    z = y.astype(np.float64) / np.linalg.norm(y.astype(np.float64), axis=1, keepdims=True)
+    s = z @ z.T >= 0.9
+    np.fill_diagonal(s, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<float>").repartition(3)
+    for more in ({}, {"probes": 100}):
+        got = {r.vec_id: r.n_links for r in vectors.near_vectors(df, passes=2, window=8, **more).collect()}
+        assert s.sum() > 200 and sum(got.values()) >= 0.95 * s.sum() and all(got[i] <= s[i].sum() for i in got)

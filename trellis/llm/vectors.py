@@ -6,6 +6,13 @@ double precision, and pairs at or above the threshold are united. Passes are ind
 finds; the united pairs of all passes make components. Since a window cannot reach all of a large group, a last step
 compares every two members of a component, in blocks of at most `block` vectors a side, and counts links exactly.
 
+How many passes are enough depends on the number of vectors and on their density, so it is measured: after each round of
+`passes` passes, `probes` vectors drawn by hash (others each round) are compared with all vectors, and while fewer than
+`recall` of their links (as a mean over the probes that have any) are within one component, another round follows, with
+twice the window and, in every other pass, planes through drawn vectors, which also split a dense cone off the origin.
+What the probes show to be missed is united as well. A round that would cost as much as comparing all pairs is replaced by
+just that, in blocks, so the loop ends.
+
 Equal vectors form a class and take part once with their number. Sort keys end in the id, so a group of near copies spans
 as many partitions as it needs; a task of the last step holds two blocks. At most `at_once` passes are on disk together.
 
@@ -37,7 +44,16 @@ def _units(column) -> tuple[np.ndarray, np.ndarray]:
     return out / np.linalg.norm(out, axis=1, keepdims=True), dims
 
 
-def _keys(numbers: list[int], bits: int, seed: int):
+def _offsets(drawn: np.ndarray, dims: np.ndarray, d: int, planes: np.ndarray, number: int, seed: int) -> np.ndarray:
+    """Where each plane cuts: through a drawn vector of that length, or through the origin if there is none."""
+    own = drawn[dims == d]
+    if not len(own):
+        return np.zeros(planes.shape[1])
+    at = np.random.default_rng([seed, number, d, 1]).integers(0, len(own), planes.shape[1])
+    return np.einsum("bd,db->b", own[at][:, :d], planes)
+
+
+def _keys(numbers: list[int], bits: int, seed: int, drawn: tuple[np.ndarray, np.ndarray] | None = None):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -49,7 +65,9 @@ def _keys(numbers: list[int], bits: int, seed: int):
                     key = np.zeros(len(units), np.int64)
                     for d in np.unique(dims).tolist():
                         at = dims == d
-                        key[at] = (units[at, :d] @ _planes(d, number, bits, seed) > 0) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
+                        planes = _planes(d, number, bits, seed)
+                        cut = _offsets(*drawn, d, planes, number, seed) if drawn is not None and number % 2 else 0
+                        key[at] = (units[at, :d] @ planes > cut) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), number, np.int32)), pa.array(dims.astype(np.int32)), pa.array(key), part["id"], part["v"]], ["pass", "dims", "key", "id", "v"])
 
     return run
@@ -113,10 +131,107 @@ def _counter(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, passes: int = 24, at_once: int = 8, bits: int = 62, window: int = 64, block: int = 1024, seed: int = 1) -> DataFrame:
+def _pair_linker(threshold: float):
+    """A spanning forest of the links between the two sides of a block pair (or within the one that there is)."""
+
+    def run(table):
+        import pyarrow as pa
+
+        units, dims = _units(table["v"].combine_chunks())
+        side, own = table["b"].to_numpy(), table["id"].to_numpy()
+        near = (units @ units.T >= threshold) & (dims[:, None] == dims) & np.tri(len(own), k=-1, dtype=bool)
+        if side.min() != side.max():
+            near &= side[:, None] != side
+        pairs = _forest([(int(own[x]), int(own[y])) for x, y in np.argwhere(near).tolist()])
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return run
+
+
+def _prober(units: np.ndarray, dims: np.ndarray, nodes: np.ndarray, comps: np.ndarray, threshold: float):
+    """Per task and probe: its links to other vectors and how many of them are within its component; then missed links."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        links, found, missed = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), []
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                x, d = _units(part["v"])
+                own, comp = part["id"].to_numpy(), part["component"].to_numpy()
+                width = max(x.shape[1], units.shape[1])
+                a, b = (np.pad(y, ((0, 0), (0, width - y.shape[1]))) for y in (x, units))
+                near = (a @ b.T >= threshold) & (d[:, None] == dims) & (own[:, None] != nodes)
+                same = comp[:, None] == comps
+                links += near.sum(axis=0)
+                found += (near & same).sum(axis=0)
+                r, q = np.nonzero(near & ~same)
+                if len(r):  # components stand for their members
+                    missed += map(tuple, np.unique(np.stack((comps[q], comp[r]), axis=1), axis=0).tolist())
+                if len(missed) > 200_000:
+                    missed = _forest(missed)
+        missed = _forest(missed)
+        some = np.flatnonzero(links)
+        none = lambda n: pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), none(len(some)), pa.array(links[some]), pa.array(found[some])], ["a", "b", "links", "found"])
+        for i in range(0, len(missed), 50_000):
+            m = missed[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in m], pa.int64()), pa.array([p[1] for p in m], pa.int64()), none(len(m)), none(len(m))], ["a", "b", "links", "found"])
+
+    return run
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Each vector once for every pair (i, j) of blocks that its own block `b` of `blocks` is in."""
+    names = [c for c in members.columns if c != "blocks"]
+    return members.select(*names, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select(*names, F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"))
+
+
+def _drawn(placed: DataFrame, probes: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors, lengths, nodes and components of the probes of a round."""
+    import pyarrow as pa
+
+    got = placed.orderBy(F.xxhash64("id", F.lit(number)), "id").limit(probes).collect()
+    units, dims = _units(pa.array([r.v for r in got], pa.list_(pa.float64())))
+    return units, dims, np.array([r.id for r in got], np.int64), np.array([r.component for r in got], np.int64)
+
+
+def _linked(classes: DataFrame, kind: str, *, threshold: float, passes: int, at_once: int, bits: int, window: int, block: int, seed: int, recall: float, probes: int) -> DataFrame:
+    """(node, component) for every vector of classes (node, v) with a link found; goes on until the measured recall is met."""
+    total, drawn, edges, number = classes.count(), None, None, 0
+    while True:
+        exact = number > 0 and 2 * passes * window >= total
+        if exact:
+            blocks = -(-total // block)
+            members = classes.select(F.col("node").alias("id"), "v", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("b"), F.lit(blocks).alias("blocks"))
+            found = stored(_dealt(members).groupBy("i", "j").applyInArrow(_pair_linker(threshold), "a long, b long"), "vector-links")
+            edges = found.unionByName(edges)
+        for first in range(0, 0 if exact else passes, at_once):
+            numbers = [number * passes + k for k in range(first, min(passes, first + at_once))]
+            keyed = classes.select(F.col("node").alias("id"), "v").mapInArrow(_keys(numbers, bits, seed, drawn), f"pass int, dims int, key long, id long, v {kind}")
+            found = stored(keyed.repartitionByRange("pass", "dims", "key", "id").sortWithinPartitions("pass", "dims", "key", "id").mapInArrow(_windows(threshold, window), "a long, b long"), "vector-links")
+            edges = found if edges is None else edges.unionByName(found)
+        comp = stored(components(edges, "vector-components"), "vector-members")
+        if exact or not total:
+            return comp
+        placed = stored(classes.join(comp, "node", "left").select(F.col("node").alias("id"), "v", F.coalesce("component", "node").alias("component")), "vector-placed")
+        probe = _drawn(placed, probes, number)
+        seen = stored(placed.mapInArrow(_prober(*probe, threshold), "a long, b long, links long, found long"), "vector-probes")
+        reached = seen.where("links is not null").groupBy("a").agg((F.sum("found") / F.sum("links")).alias("share")).agg(F.avg("share")).first()[0]
+        missed = seen.where("b is not null").select("a", "b")
+        edges = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(missed)
+        if reached is None or reached >= recall:
+            return comp if reached in (None, 1.0) else stored(components(edges, "vector-components"), "vector-members")
+        drawn, number, window = probe[:2], number + 1, 2 * window
+
+
+def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, passes: int = 24, at_once: int = 8, bits: int = 62, window: int = 64, block: int = 1024, seed: int = 1, recall: float = 0.99, probes: int = 4096) -> DataFrame:
     """vectors with `n_links`, `component_id` and `kept` added (columns of these names are replaced)."""
     names = [c for c in vectors.columns if c not in ("n_links", "component_id", "kept")]
-    v = F.col(f"`{vector}`").cast("array<double>")
+    # single precision is carried as it is, which loses nothing and takes half the room; cosines are of doubles
+    kind = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
+    v = F.col(f"`{vector}`").cast(kind)
     sound = F.col(f"`{key}`").isNotNull() & F.coalesce(F.size(v) > 0, F.lit(False)) & ~F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(f"`{key}`").cast("long").alias("id"), F.when(sound, v).alias("v"))
     rows = rows.withColumn("h1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("h2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit("second"), "v")))
@@ -126,17 +241,10 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
     classes = stored(good.join(classes, ["h1", "h2", "id"]).groupBy("h1", "h2", "id", "many").agg(F.any_value("v").alias("v")), "vector-classes")
     # an id that several different vectors carry stands for the class of each: number classes apart from ids
     classes = stored(classes.withColumn("node", F.xxhash64("h1", "h2")), "vector-nodes")
-    edges = None
-    for first in range(0, passes, at_once):
-        numbers = list(range(first, min(passes, first + at_once)))
-        keyed = classes.select(F.col("node").alias("id"), "v").mapInArrow(_keys(numbers, bits, seed), "pass int, dims int, key long, id long, v array<double>")
-        found = stored(keyed.repartitionByRange("pass", "dims", "key", "id").sortWithinPartitions("pass", "dims", "key", "id").mapInArrow(_windows(threshold, window), "a long, b long"), "vector-links")
-        edges = found if edges is None else edges.unionByName(found)
-    comp = stored(components(edges, "vector-components"), "vector-members")
+    comp = _linked(classes.select("node", "v"), kind, threshold=threshold, passes=passes, at_once=at_once, bits=bits, window=window, block=block, seed=seed, recall=recall, probes=probes)
     sizes = comp.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = classes.join(comp, "node").join(sizes, "component").select("node", "v", "many", "component", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("b"), "blocks")
-    dealt = members.select(F.col("node").alias("id"), "v", "many", "component", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select("id", "v", "many", "component", "b", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"))
-    counted = dealt.groupBy("component", "i", "j").applyInArrow(_counter(threshold), "id long, links long").groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
+    members = classes.join(comp, "node").join(sizes, "component").select(F.col("node").alias("id"), "v", "many", "component", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("b"), "blocks")
+    counted = _dealt(members).groupBy("component", "i", "j").applyInArrow(_counter(threshold), "id long, links long").groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
     ends = classes.select("h1", "h2", "node", "id", "many").join(comp, "node", "left").join(counted, "node", "left").select("h1", "h2", "id", "many", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     ends = ends.join(ends.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("h1", "h2", "component_id", (F.col("links") + F.col("many") - 1).alias("n_links"))
     some = good.join(ends, ["h1", "h2"]).select("_row.*", "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
