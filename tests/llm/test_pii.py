@@ -66,5 +66,19 @@ def test_terms_that_give_an_entity_away(spark):
     assert all(not terms(out[100 + i]) for i in range(5))  # copies of one text are no evidence
 
 
+def test_terms_of_entities_in_one_or_two_documents(spark):
+    rows = [(i, f"{a} zanzibar {b} x@y.zz common words here") for i, (a, b) in enumerate([("one", "two"), ("three", "four")])]
+    rows += [(5 + i, f"{a} quagga {b} user{i}@host{i}.rare.org common words here") for i, (a, b) in enumerate([("five", "six"), ("seven", "eight"), ("nine", "ten")])]
+    rows += [(10 + i, f"common words here number {i}") for i in range(40)]
+    rows += [(100 + i, "some copied oddword text then other oddword here m@n.oo common words") for i in range(5)]
+    rows += [(200, "left changed nearword same text 4111 1111 1111 1111"), (201, "left edited nearword same text 4111 1111 1111 1111")]
+    rows += [(300, "lonely hapaxword +49 151 2345 6789")]
+    out = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = lambda r: {r.text[x.start : x.end] for x in r.spans if x.kind == "term"}
+    assert [terms(out[i]) for i in range(2)] == [{"zanzibar"}] * 2
+    assert [terms(out[i]) for i in range(5, 8)] == [{"quagga"}] * 3  # by the domain they share
+    assert not any(terms(out[i]) for i in (*range(10, 50), *range(100, 105), 200, 201, 300))
+
+
 def test_empty_table(spark):
     assert pii.sanitise(spark.createDataFrame([], "doc_id long, text string")).collect() == []

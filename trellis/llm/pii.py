@@ -1,17 +1,21 @@
 """Personal data and what gives it away, with DataFrame functions only.
 
 Base spans come from four fixed patterns. On top, information-theoretic sanitisation asks of each term how strongly it
-reveals an entity (one particular address, number, ...) that several documents mention. With counts over the whole corpus,
+reveals an entity (one particular address, number, ...), or an aspect of it that `[KIND]` would hide: the domain of an
+address, the network of an IP, the first digits of a number. So an entity of a single document is judged by what it shares
+with others. With counts over the whole corpus,
 
     IC(e) = log2(N / df(e)),   PMI(e, t) = log2(N * df(e, t) / (df(e) * df(t))),
 
 and t discloses e when PMI(e, t) >= disclosure * IC(e): reading t then gives nearly all the information that e holds. A
-pair needs `support` documents and two different contexts (words next to t), so that copies of one text are no evidence.
+pair needs two different texts and two different contexts (words next to t), so that copies of one text are no evidence;
+with fewer than `support` documents, the words on both sides of t must differ, which an edit in a near copy seldom does.
+What a single text alone has, in no aspect shared, has no co-occurrence to count.
 Disclosing terms become spans of kind `term` in the documents that mention e; in `sanitised`, entities are generalised to
 their kind and such terms removed.
 
 Scale: the patterns never backtrack over a run twice, so time is linear in a text. Terms are counted by partial aggregates;
-only terms that co-occur with an entity of several documents are counted corpus-wide, and they are broadcast only if a
+only terms rare enough to reach the bound with an entity of several documents are counted corpus-wide, and they are broadcast only if a
 count shows them within `broadcast_rows`. Nothing gathers the documents of an entity or a term.
 
 Edge cases: null text is empty. Null and repeated doc_ids, repeated rows and an empty table pass through row by row.
@@ -93,27 +97,47 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"] == "email", F.lower(span["value"])).when(span["kind"] == "ip", span["value"]).otherwise(_digits(span["value"])))
 
 
+def aspects(span: Column) -> Column:
+    """Hashes of the entity and of the coarser things that it tells."""
+    lower, digits = F.lower(span["value"]), _digits(span["value"])
+    domain = F.substring_index(lower, "@", -1)
+    told = (
+        F.when(span["kind"] == "email", F.array(domain, F.substring_index(domain, ".", -2)))
+        .when(span["kind"] == "ip", F.array(*(F.substring_index(span["value"], ".", k) for k in (3, 2, 1))))
+        .when(span["kind"] == "card", F.array(F.substring(digits, 1, 6), F.substring(digits, 1, 2)))
+        .otherwise(F.array(F.substr(digits, F.lit(1), F.length(digits) - 4), F.substring(digits, 1, 4)))
+    )
+    return F.concat(F.array(F.xxhash64(entity(span))), F.transform(told, lambda x: F.xxhash64(F.lit("part"), span["kind"], x)))
+
+
 def _term(w: Column) -> Column:
     return F.xxhash64(F.lower(w))
 
 
 def disclosing(found: DataFrame, texts: DataFrame, *, disclosure: float, support: int, broadcast_rows: int) -> DataFrame:
-    """(e, t): entities and hashes of the terms that disclose them. found: (doc, text, entities); texts: every (text)."""
-    mentions = found.select("doc", F.explode("entities").alias("e"))
-    shared = stored(mentions.groupBy("e").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= support), "pii-entities")
-    held = stored(mentions.join(shared.select("e"), "e"), "pii-mentions")
+    """(e, t): entities' aspects and hashes of the terms that disclose them. found: (doc, text, entities); texts: every (text)."""
+    n = texts.count()
+    mentions = found.select("doc", F.xxhash64("text").alias("x"), F.explode("entities").alias("e"))
+    shared = stored(mentions.groupBy("e").agg(F.count("*").alias("df_e")).where(F.col("df_e") > 1), "pii-entities")
+    # a term of more documents cannot reach the bound, even if each of the entity's documents holds it
+    most = F.lit(float(max(n, 1)) ** (1 - disclosure)) * F.pow(F.col("df_e"), F.lit(disclosure)) + 1e-6
+    held = stored(mentions.join(shared.withColumn("most", most), "e"), "pii-mentions")
+    top = held.agg(F.max("most")).first()[0] or 0.0
+    telling = found.join(held.select("doc").distinct(), "doc", "left_semi").select("doc", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("w"))
+    met = telling.select(F.explode(F.array_distinct(F.transform("w", lambda w: _term(w)))).alias("t")).groupBy("t").agg(F.count("*").alias("met")).where(F.col("met").between(2, top))
+    side = lambda k: F.xxhash64(F.lower(F.get("w", F.col("i") + k)))
     words = (
-        found.join(held.select("doc").distinct(), "doc", "left_semi")
-        .select("doc", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("w"))
-        .select("doc", F.posexplode("w").alias("i", "x"), "w")
-        .select("doc", _term(F.col("x")).alias("t"), F.xxhash64(F.lower(F.get("w", F.col("i") - 1)), F.lower(F.get("w", F.col("i") + 1))).alias("c"))
-        .groupBy("doc", "t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        telling.select("doc", F.posexplode("w").alias("i", "x"), "w")
+        .select("doc", _term(F.col("x")).alias("t"), side(-1).alias("l"), side(1).alias("r"))
+        .join(lean(stored(met, "pii-met"), broadcast_rows), "t")
+        .groupBy("doc", "t").agg(F.first("met").alias("met"), F.min("l").alias("l0"), F.max("l").alias("l1"), F.min("r").alias("r0"), F.max("r").alias("r1"))
     )
-    pairs = held.join(words, "doc").groupBy("e", "t").agg(F.count("*").alias("both"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where((F.col("both") >= support) & (F.col("lo") != F.col("hi")))
+    pairs = held.join(words, "doc").where("met <= most").groupBy("e", "t").agg(F.count("*").alias("both"), *(F.min(c).alias(c) for c in ("l0", "r0")), *(F.max(c).alias(c) for c in ("l1", "r1")), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    left, right = F.col("l0") != F.col("l1"), F.col("r0") != F.col("r1")
+    pairs = pairs.where((F.col("both") > 1) & (F.col("x0") != F.col("x1")) & F.when(F.col("both") >= support, left | right).otherwise(left & right))
     pairs = stored(pairs.select("e", "t", "both"), "pii-pairs")
     wanted = lean(pairs.select("t").distinct(), broadcast_rows)
     spread = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), lambda w: _term(w)))).alias("t")).join(wanted, "t", "left_semi").groupBy("t").agg(F.count("*").alias("df_t"))
-    n = texts.count()
     measured = pairs.join(shared, "e").join(spread, "t")
     ic = F.log2(F.lit(float(n)) / F.col("df_e"))
     pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("df_e") * F.col("df_t")))
@@ -127,7 +151,7 @@ def sanitise(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", disclo
     rows = base_spans(rows).select("_row", "_text", "_base", F.when(F.size("_base") > 0, F.md5(F.concat_ws("|", F.coalesce(F.col("_id").cast("string"), F.lit("~")), "_text"))).alias("_doc"))
     rows = stored(rows, "pii-base")
     some = rows.where(F.col("_doc").isNotNull())
-    found = some.select(F.col("_doc").alias("doc"), F.col("_text").alias("text"), F.array_distinct(F.transform("_base", entity)).alias("entities")).dropDuplicates(["doc"])
+    found = some.select(F.col("_doc").alias("doc"), F.col("_text").alias("text"), F.array_distinct(F.flatten(F.transform("_base", aspects))).alias("entities")).dropDuplicates(["doc"])
     told = disclosing(found, rows.select(F.col("_text").alias("text")), disclosure=disclosure, support=support, broadcast_rows=broadcast_rows)
     terms = found.select("doc", F.explode("entities").alias("e")).join(told, "e").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("t").alias("_terms"))
     none = F.array().cast("array<struct<start:bigint,k:int,end:bigint,kind:string>>")
