@@ -10,7 +10,7 @@ Each stage takes (spark, docs, sf_dir), works on every document that the one bef
 * packing: what is left is packed into windows of 1024 tokens.
 
 Rows without an id are judged by their text alone; they never speak for a group. Rows that repeat an id with the same
-text count once after the third stage. Extra columns are carried along.
+text count once after the third stage; different texts of one id are judged each by itself. Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from trellis.llm.common import lean, stored
+from trellis.llm.common import lean, stored, text_of
 
 
 def _boxed(docs: DataFrame) -> DataFrame:
@@ -42,10 +42,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_classes(docs)
-    # only the few ids that say something: members that go, and ids of several rows, whose equal rows become one
-    marks = stored(found.where("id is not null").groupBy("id").agg(F.count("*").alias("rows"), F.max(F.col("id") != F.col("component_id")).alias("goes")).where("rows > 1 or goes"), "pipeline-marks")
-    marked = _boxed(docs).join(lean(marks.withColumnRenamed("id", "doc_id"), 1_000_000), "doc_id", "left")
-    once = marked.where("not goes and rows > 1").dropDuplicates(["doc_id", "text"])
+    # by id and text: an id can carry several texts, which may belong to different groups
+    own = found.where("id is not null").groupBy("id", "x").agg(F.count("*").alias("rows"), F.first("component").alias("component"), F.max(F.col("id") != F.col("component_id")).alias("goes"))
+    own = stored(own, "pipeline-own")
+    # different texts of the group's least id: one stays
+    several = own.where("not goes and component is not null").groupBy("id", "component").agg(F.count("*").alias("texts"), F.min("x").alias("stays")).where("texts > 1")
+    own = own.join(lean(several, 1_000_000), ["id", "component"], "left").withColumn("goes", F.col("goes") | F.coalesce(F.col("x") != F.col("stays"), F.lit(False)))
+    # only the few that say something: texts that go, and those of several rows, which become one
+    marks = stored(own.where("rows > 1 or goes").select(F.col("id").alias("doc_id"), F.col("x").alias("_x"), "rows", "goes"), "pipeline-marks")
+    marked = _boxed(docs).withColumn("_x", F.xxhash64(text_of("text"))).join(lean(marks, 1_000_000), ["doc_id", "_x"], "left")
+    once = marked.where("not goes and rows > 1").dropDuplicates(["doc_id", "_x"])
     return marked.where("rows is null").unionByName(once).select("_all.*")
 
 

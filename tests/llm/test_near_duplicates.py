@@ -1,5 +1,6 @@
 import re
 
+import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -105,3 +106,12 @@ def test_vector_passes_go_on_until_recall_is_met(spark):
     for more in ({}, {"probes": 100}):
         got = {r.vec_id: r.n_links for r in vectors.near_vectors(df, passes=2, window=8, **more).collect()}
         assert s.sum() > 200 and sum(got.values()) >= 0.95 * s.sum() and all(got[i] <= s[i].sum() for i in got)
+
+
+def test_pipeline_judges_texts_of_one_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (4, c), (4, c + " more"), (4, c), (5, ""), (5, ""), (None, "alone")]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    texts = [(r.doc_id or 0, r.text) for r in got]
+    assert sorted(t for t in texts if t[0] != 4) == [(0, "alone"), (1, a), (2, b), (5, "")]
+    assert [t for t in texts if t[0] == 4] in ([(4, c)], [(4, c + " more")])

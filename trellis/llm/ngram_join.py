@@ -104,7 +104,7 @@ def _told(n: int, percent: int):
                 if len(seen) > 1_000_000:
                     seen.clear()  # a class that comes again is told twice, which later steps allow
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols, kinds)], ["id", "n", "h", "own0", "tokens0", "own1", "tokens1"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, cols, kinds)], ["id", "x", "n", "h", "own0", "tokens0", "own1", "tokens1"])
 
     return run
 
@@ -168,11 +168,12 @@ def _verifier(n: int, percent: int):
 
 
 def jaccard_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text", block: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs: component_id is the least id that links of at least percent/100 reach."""
+    """(id, n_shingles, component_id, x, component) for each row of docs: component_id is the least id that links of at least
+    percent/100 reach, x the text's xxhash64, component the group itself (null without shingles)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc).cast("long").alias("id"), text_of(text).alias("text"))
-    told = stored(rows.mapInArrow(_told(n, percent), "id long, n long, h long, own0 long, tokens0 array<long>, own1 long, tokens1 array<long>"), "ngram-tokens")
-    signed = told.select("id", "n", "h")
+    told = stored(rows.withColumn("x", F.xxhash64("text")).mapInArrow(_told(n, percent), "id long, x long, n long, h long, own0 long, tokens0 array<long>, own1 long, tokens1 array<long>"), "ngram-tokens")
+    signed = told.select("id", "x", "n", "h")
     classes = stored(signed.where(F.col("h").isNotNull()).groupBy("h").agg(F.min("id").alias("least"), F.first("n").alias("n")), "ngram-classes")
 
     # rarest first: what one document has is dropped from its prefix, which most texts lose whole
@@ -199,5 +200,5 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, doc: str
     found = dealt.groupBy("g", "i", "j").applyInArrow(_verifier(n, percent), "a long, b long")
     linked = components(found, "ngram-links").select(F.col("node").alias("h"), "component")
     ends = classes.join(linked, "h", "left").select("h", "least", F.coalesce("component", "h").alias("component"))
-    ends = ends.join(ends.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("h", "component_id")
-    return signed.join(ends, "h", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("h").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    ends = ends.join(ends.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("h", "component", "component_id")
+    return signed.join(ends, "h", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("h").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "x", "component")
