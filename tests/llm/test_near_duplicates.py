@@ -44,17 +44,18 @@ def corpus(rng):
 
 
 def test_ngram_join_equals_brute_force(spark):
-    for seed, n, percent in ((1, 4, 85), (2, 5, 80), (3, 2, 60)):
+    for seed, n, percent, rounds in ((1, 4, 85, 3), (2, 5, 80, 1), (3, 2, 60, 0)):
         texts = corpus(np.random.default_rng(seed))
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-        got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(df, n=n, percent=percent, block=16).collect()}
+        got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(df, n=n, percent=percent, block=16, rounds=rounds).collect()}
         assert [got[i] for i in range(len(texts))] == brute_classes(texts, n, percent)
 
 
 def test_ngram_join_odd_rows(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", None), (2, "other words stand in here now", None), (2, "a b c d e f", None), (None, "nobody has this text at all", None)]
+    rows += [(None, " ".join(f"w{i}" for i in range(60)), None), (3, " ".join(f"w{i}" for i in range(61)), None)]  # a set that only a row without an id has
     got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string, n_shingles string"), n=4).collect()
-    assert sorted((r.id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (2, 2)]
+    assert sorted((r.id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 1), (0, 3), (1, 1), (1, 1), (2, 1), (2, 2), (3, 3)]
     assert ngram_join.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
@@ -63,6 +64,8 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(20)) and got[501] == 500
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    rounds = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), task_edges=1).collect()}
+    assert rounds == got
 
 
 def test_vectors_recall_and_counts(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- scratch
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (local tests) is one made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and all run on one machine
+    (tests, bench) is one made; on a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc
     if not at:
         have = jsc.sc().getCheckpointDir()
+        if not have.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors can reach")
         at = have.get() if have.isDefined() else "file://" + tempfile.mkdtemp(prefix="trellis-")
     if not jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
@@ -165,33 +169,68 @@ class Sets:
         return True
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of the pairs that join something new: a spanning forest."""
+    names: dict[int, int] = {}
+    for p in pairs:
+        for x in p:
+            names.setdefault(x, len(names))
+    sets = Sets(len(names))
+    return [p for p in pairs if sets.join(names[p[0]], names[p[1]])]
+
+
+def _united(batches: Iterator) -> Iterator:
+    """(node, into) for every node on the edges of one task: the least node that it reaches."""
+    import pyarrow as pa
+
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    a, b = (np.concatenate([x[c].to_numpy() for x in batches]) for c in "ab")
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    sets = Sets(len(nodes))
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        sets.join(x, y)
+    into = nodes[np.fromiter(map(sets.find, range(len(nodes))), np.int64, len(nodes))]
+    for i in range(0, len(nodes), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 50_000]), pa.array(into[i : i + 50_000])], ["node", "into"])
+
+
+def components(edges: DataFrame, name: str = "components", *, task_edges: int = 500_000) -> DataFrame:
     """(node, component) for every node on an edge (a, b: long); component is the smallest node that it reaches.
 
-    Contraction: in each round every node moves to the neighbour (or itself) of least pseudo-random rank and edges are
-    redrawn between those, so the nodes shrink by a constant factor whatever the graph's shape; no node's neighbours are
-    ever gathered, only a minimum of them is kept. Each round is a written table. No row of the graph reaches the driver.
+    Contraction: in each round every node moves to the neighbour (or itself) of least pseudo-random rank, then to where that
+    one moved, and edges are redrawn between those, so the nodes shrink by a constant factor whatever the graph's shape; no
+    node's neighbours are ever gathered, only a minimum of them is kept. As soon as a count shows at most `task_edges`
+    edges, they are united in one task. Where each node has come to is one written table, replaced each round by a single
+    join, so no plan grows with the rounds. No row of the graph reaches the driver.
     """
-    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    steps: list[DataFrame] = []
-    live = edges
-    while not live.isEmpty():
-        k = len(steps)
+    live = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    at: DataFrame | None = None
+
+    def moved(at: DataFrame | None, step: DataFrame) -> DataFrame:
+        if at is None:
+            return step
+        # a node of an earlier round that no live edge holds stays where it is
+        nxt = step.select(F.col("node").alias("into"), F.col("into").alias("next"))
+        return stored(at.join(nxt, "into", "left").select("node", F.coalesce("next", "into").alias("into")), f"{name}-at")
+
+    k = 0
+    while not smaller_than(live, task_edges):
         rank = lambda c, k=k: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("r"), F.col(c).alias("n"))
         both = live.select(F.col("a").alias("node"), rank("b").alias("to")).union(live.select(F.col("b").alias("node"), rank("a").alias("to")))
         # two numbers instead of a struct keep the aggregate a hash aggregate
         best = both.select("node", F.col("to.r").alias("r"), F.col("to.n").alias("n")).groupBy("node").agg(F.min("r").alias("r"), F.min_by("n", "r").alias("n"))
         own = F.xxhash64(F.col("node"), F.lit(k))
-        step = stored(best.select("node", F.when(own <= F.col("r"), F.col("node")).otherwise(F.col("n")).alias("into")), f"{name}-step")
-        steps.append(step)
+        one = stored(best.select("node", F.when(own <= F.col("r"), F.col("node")).otherwise(F.col("n")).alias("into")), f"{name}-hop")
+        two = one.select(F.col("node").alias("into"), F.col("into").alias("next"))
+        step = stored(one.join(two, "into").select("node", F.col("next").alias("into")), f"{name}-step")
         x, y = step.select(F.col("node").alias("a"), F.col("into").alias("x")), step.select(F.col("node").alias("b"), F.col("into").alias("y"))
         live = stored(live.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-live")
-    if not steps:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("component"))
-    out = steps[0].select("node", "into")
-    for step in steps[1:]:
-        nxt = step.select(F.col("node").alias("into"), F.col("into").alias("next"))
-        out = out.join(nxt, "into", "left").select("node", F.coalesce("next", "into").alias("into"))
-    out = stored(out, f"{name}-end")
+        at, k = moved(at, step), k + 1
+    last = stored(live.repartition(1).mapInArrow(_united, "node long, into long"), f"{name}-last")
+    out = moved(at, last)
+    if k == 0:
+        return out.select("node", F.col("into").alias("component"))
     least = out.groupBy("into").agg(F.min("node").alias("component"))
     return out.join(least, "into").select("node", "component")

@@ -1,9 +1,13 @@
-"""What both classifiers share: a bounded sample of labelled texts, and calibration."""
+"""What both classifiers share: a bounded sample of labelled texts, fitting in a task, and calibration."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.llm.common import text_of
@@ -14,23 +18,43 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, *, key: str, text: str, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of at most `most` labelled rows a class, outside the held-out fold, chosen by a hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, *, key: str, text: str, most: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """(k, t, y, w): at most `most` labelled texts a class, outside the held-out fold, chosen by a hash of the id.
 
-    Only this bounded sample comes to the driver. Weights restore the classes' shares among all labelled rows; rows
+    An id's text is the least by hash if rows repeat it. Texts come in the order of that hash of the id until they hold
+    `most_bytes` bytes together (classes taking turns). Weights restore the classes' shares among all labelled rows; rows
     whose label is neither 0 nor 1 are no examples.
     """
     own = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & ~held_out(F.col("k")))
     counts = {r.y: r["count"] for r in own.groupBy("y").count().collect()}
     picked = None
     for y in (0, 1):
-        few = own.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most)
+        few = own.where(F.col("y") == y).groupBy("k", "y").agg(F.count("*")).select("k", "y").orderBy(F.xxhash64("k"), "k").limit(most)
         picked = few if picked is None else picked.union(few)
-    rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).join(F.broadcast(picked), "k").select("k", "t", "y").toArrow()
-    order = np.argsort(rows["k"].to_numpy(), kind="stable")
-    texts, y = [rows["t"][int(i)].as_py() for i in order], rows["y"].to_numpy()[order].astype(np.float64)
-    weights = np.where(y > 0, counts.get(1, 0) / max(1, y.sum()), counts.get(0, 0) / max(1, (1 - y).sum()))
-    return texts, y, weights / weights.mean() if len(weights) else weights
+    rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).join(F.broadcast(picked), "k")
+    rows = rows.groupBy("k", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    turn = W.partitionBy("y").orderBy(F.xxhash64("k"), "k")  # over 2 * most rows at most
+    rows = rows.withColumn("turn", F.row_number().over(turn)).withColumn("held", F.sum(F.octet_length("t")).over(W.orderBy("turn", "y")))
+    return rows.where(F.col("held") <= most_bytes).select("k", "t", "y", F.when(F.col("y") == 1, float(counts.get(1, 0))).otherwise(float(counts.get(0, 0))).alias("w"))
+
+
+def fitted(rows: DataFrame, fit: Callable):
+    """fit(texts, y, weights) of sampled rows, run in one task: neither texts nor what fitting needs reach the driver."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches).sort_by("k")
+        y, total = table["y"].to_numpy().astype(np.float64), table["w"].to_numpy()
+        weights = total / np.where(y > 0, max(1, y.sum()), max(1, (1 - y).sum()))
+        model = fit(table["t"].to_pylist(), y, weights / weights.mean() if len(weights) else weights)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    got = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(got.model) if got else fit([], np.zeros(0), np.zeros(0))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -4,7 +4,8 @@ Tokens are runs of word characters or of other signs, in UTF-8 bytes with their
 repeats the one before stand for themselves as two special tokens. Every token has a sparse random index vector, made
 from a hash. Over all documents, each token's vector sums its own index vector and those of its neighbours (random
 indexing); tokens share `2**bits` hashed rows, so the table's size is fixed and what is summed into it is the whole corpus.
-Partial tables are summed by rows in a streaming way, and only the finished table reaches the driver.
+Partial tables are summed by rows in a streaming way, and only the finished table reaches the driver. What is summed are
+multiples of one half, which floating point adds exactly, so a task that runs again or ends late changes no score.
 
 A document's input is the mean of its tokens' vectors and, over windows of tokens, the greatest and least mean in each
 dimension. A network of two layers is fitted with Adam to at most `most` labelled rows of each class, and one temperature
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellis.llm.common import _BASE, _BASE_INV, _powers, mix, pieces_of, small_batches, text_buffer, text_of
-from trellis.llm.labels import calibrate, sample, sigmoid
+from trellis.llm.labels import calibrate, fitted, sample, sigmoid
 
 _RAW = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
 _KIND = np.array([0 if b == 32 or 9 <= b <= 13 else 1 if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 2 for b in range(256)], np.int8)
@@ -176,7 +177,8 @@ def fit(texts: list[str], y: np.ndarray, weights: np.ndarray, vectors: np.ndarra
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 2500) -> Network:
-    return fit(*sample(docs, labels, label, key=key, text=text, most=most), word_vectors(docs, text=text))
+    vectors = word_vectors(docs, text=text)
+    return fitted(sample(docs, labels, label, key=key, text=text, most=most), lambda *rows: fit(*rows, vectors))
 
 
 def score(docs: DataFrame, model: Network, *, text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ With two classes, the softmax depends on w = W[1] - W[0] alone and a window's lo
 n-grams: the gradient of every embedding is a multiple of w. Training so needs one number an n-gram for either pass, and
 scoring one table look-up.
 
-Bound: at most `most` labelled rows of each class are fitted (on the driver); every text is scored, whole. Edge cases: null
+Bound: at most `most` labelled rows of each class are fitted (in one task); every text is scored, whole. Edge cases: null
 and empty text score as the bare intercept; ids may be null or repeat; without examples of both classes every score is the
 share of label 1 (0.5 without labels).
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellis.llm.common import _BASE, _BASE_INV, _BYTE, _powers, mix, pieces_of, small_batches, text_buffer, text_of
-from trellis.llm.labels import calibrate, sample, sigmoid
+from trellis.llm.labels import calibrate, fitted, sample, sigmoid
 
 GRAMS = (4, 5, 6)
 #: A window's mean is over this many n-grams at least, so that a stray one in an almost empty window does not decide.
@@ -208,8 +208,8 @@ def _groups(texts: list[bytes], most: int) -> Iterator[list[int]]:
         yield group
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 1200) -> Model:
-    return fit(*sample(docs, labels, label, key=key, text=text, most=most))
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 1500) -> Model:
+    return fitted(sample(docs, labels, label, key=key, text=text, most=most), fit)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
