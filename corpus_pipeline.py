@@ -9,8 +9,9 @@ Each stage takes (spark, docs, sf_dir), works on every document that the one bef
 * decontamination: documents that hold a benchmark window (ten words) go.
 * packing: what is left is packed into windows of 1024 tokens.
 
-Rows without an id are judged by their text alone; they never speak for a group. Rows that repeat an id with the same
-text count once after the third stage; different texts of one id are judged each by itself. Extra columns are carried along.
+Rows without an id are scored and compared like others; in a group the third stage keeps one of them only if no row has an
+id. Line dedup leaves them as they are. Rows that repeat an id with the same text count once after the third stage;
+different texts of one id are judged each by itself. Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -41,17 +42,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.jaccard_classes(docs)
-    # by id and text: an id can carry several texts, which may belong to different groups
-    own = found.where("id is not null").groupBy("id", "x").agg(F.count("*").alias("rows"), F.first("component").alias("component"), F.max(F.col("id") != F.col("component_id")).alias("goes"))
+    # by id and text: an id can carry several texts, which may belong to different groups, and rows may have no id
+    own = ngram_join.jaccard_classes(docs).groupBy("id", "x", "component").agg(F.count("*").alias("rows"))
     own = stored(own, "pipeline-own")
-    # different texts of the group's least id: one stays
-    several = own.where("not goes and component is not null").groupBy("id", "component").agg(F.count("*").alias("texts"), F.min("x").alias("stays")).where("texts > 1")
-    own = own.join(lean(several, 1_000_000), ["id", "component"], "left").withColumn("goes", F.col("goes") | F.coalesce(F.col("x") != F.col("stays"), F.lit(False)))
+    # a group's least id stays, and of several texts of it one; rows without an id come last
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "x")).alias("first")
+    kept = own.where("component is not null").groupBy("component").agg(first, F.count("*").alias("texts")).where("texts > 1").select("component", "first")
+    stays = F.col("first").isNull() | (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.x") == F.col("x")))
+    own = own.join(kept, "component", "left").withColumn("goes", ~stays)
     # only the few that say something: texts that go, and those of several rows, which become one
-    marks = stored(own.where("rows > 1 or goes").select(F.col("id").alias("doc_id"), F.col("x").alias("_x"), "rows", "goes"), "pipeline-marks")
-    marked = _boxed(docs).withColumn("_x", F.xxhash64(text_of("text"))).join(lean(marks, 1_000_000), ["doc_id", "_x"], "left")
-    once = marked.where("not goes and rows > 1").dropDuplicates(["doc_id", "_x"])
+    marks = stored(own.where("rows > 1 or goes").select(F.col("id").alias("_id"), F.col("x").alias("_x"), "rows", "goes"), "pipeline-marks")
+    marked = _boxed(docs).withColumn("_y", F.xxhash64(text_of("text")))
+    marked = marked.join(lean(marks, 1_000_000), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_y") == F.col("_x")), "left")
+    once = marked.where("not goes and rows > 1").dropDuplicates(["doc_id", "_y"])
     return marked.where("rows is null").unionByName(once).select("_all.*")
 
 
