@@ -3,18 +3,24 @@
 Each pass draws random hyperplanes; the signs of a vector's projections, one bit each, are concatenated and vectors are put
 in that lexicographic order. Within a sorted partition every vector is compared with the `window` before it, by cosine in
 double precision, and pairs at or above the threshold are united. Passes are independent, so what one misses another
-finds; the united pairs of all passes make components. Since a window cannot reach all of a large group, a last step
-compares every two members of a component, in blocks of at most `block` vectors a side, and counts links exactly.
-
-How many passes are enough depends on the number of vectors and on their density, so it is measured: after each round of
-`passes` passes, `probes` vectors drawn by hash (others each round) are compared with all vectors, and while fewer than
-`recall` of their links (as a mean over the probes that have any) are within one component, another round follows, with
-twice the window and, in every other pass, planes through drawn vectors, which also split a dense cone off the origin.
-What the probes show to be missed is united as well. A round that would cost as much as comparing all pairs is replaced by
-just that, in blocks, so the loop ends.
+finds; the united pairs of all passes make components.
+
+A window is bounded, so passes alone lose links. With `complete` (the default) an exact step follows: vectors are dealt into
+blocks and each pair of blocks is compared in tiles. In the block's principal axes a cosine is at most the product of the
+first half of the axes plus the product of the norms of the rest; only pairs whose bound reaches the threshold are worked
+out in double precision. This counts every vector's links and unites what the passes missed. Its work is quadratic: about
+n * n / 2 products of half a vector (51,282 vectors of 64 numbers: under 10 core seconds; ten times the vectors, a hundred times
+that), and each vector is sent to every block, 64 at most up to 4 million vectors.
+
+Without `complete`, passes go on until they are measured to be enough: after each round of `passes` passes, `probes` vectors
+drawn by hash (others each round) are compared with all vectors, and while fewer than `recall` of their links (as a mean
+over the probes that have any) are within one component, another round follows, with twice the window and, in every other
+pass, planes through drawn vectors, which also split a dense cone off the origin. What the probes show to be missed is
+united as well. A round that would cost as much as comparing all pairs is replaced by the exact step, so the loop ends.
+Links are then counted exactly within components.
 
 Equal vectors form a class and take part once with their number. Sort keys end in the id, so a group of near copies spans
-as many partitions as it needs; a task of the last step holds two blocks. At most `at_once` passes are on disk together.
+as many partitions as it needs; a task of an exact step holds two blocks.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do those without
 an id. Vectors of different length are never compared. Rows that repeat an id are vectors of their own.
@@ -28,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import Sets, components, stored
+from trellis.llm.common import components, forest, stored
 
 
 def _planes(dims: int, number: int, bits: int, seed: int) -> np.ndarray:
@@ -97,9 +103,9 @@ def _windows(threshold: float, window: int):
                 for x, y in np.argwhere(near).tolist():
                     pairs.append((int(own[first + x]), int(own[y])))
                 if len(pairs) > 200_000:
-                    pairs = _forest(pairs)
+                    pairs = forest(pairs)
                 held = units[-window:], own[-window:], tag[-window:]
-        pairs = _forest(pairs)
+        pairs = forest(pairs)
         for i in range(0, len(pairs), 50_000):
             some = pairs[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in some], pa.int64()), pa.array([p[1] for p in some], pa.int64())], ["a", "b"])
@@ -107,43 +113,53 @@ def _windows(threshold: float, window: int):
     return run
 
 
-def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    names: dict[int, int] = {}
-    for p in pairs:
-        for x in p:
-            names.setdefault(x, len(names))
-    sets = Sets(len(names))
-    return [p for p in pairs if sets.join(names[p[0]], names[p[1]])]
-
+def _block_links(threshold: float, tile: int):
+    """Of the vectors of two blocks (or of one): each one's links to those of the other side, then a spanning forest of the
+    links between components. table: (id, v, many, c, b)."""
 
-def _counter(threshold: float):
     def run(table):
         import pyarrow as pa
 
+        table = table.sort_by("b")
         units, dims = _units(table["v"].combine_chunks())
-        side, many = table["b"].to_numpy(), table["many"].to_numpy()
-        near = (units @ units.T >= threshold) & (dims[:, None] == dims)
-        np.fill_diagonal(near, False)
-        if side.min() != side.max():
-            near &= side[:, None] != side
-        return pa.table({"id": table["id"], "links": pa.array(near @ many, pa.int64())})
-
-    return run
-
-
-def _pair_linker(threshold: float):
-    """A spanning forest of the links between the two sides of a block pair (or within the one that there is)."""
-
-    def run(table):
-        import pyarrow as pa
-
-        units, dims = _units(table["v"].combine_chunks())
-        side, own = table["b"].to_numpy(), table["id"].to_numpy()
-        near = (units @ units.T >= threshold) & (dims[:, None] == dims) & np.tri(len(own), k=-1, dtype=bool)
-        if side.min() != side.max():
-            near &= side[:, None] != side
-        pairs = _forest([(int(own[x]), int(own[y])) for x, y in np.argwhere(near).tolist()])
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        side, own, comp, many = (table[c].to_numpy() for c in ("b", "id", "c", "many"))
+        axes = np.linalg.eigh(units.T @ units)[1][:, ::-1]
+        turned, half = units @ axes, -(-units.shape[1] // 2)
+        head, rest = turned[:, :half].astype(np.float32), np.linalg.norm(turned[:, half:], axis=1).astype(np.float32)
+        del turned
+        cut = int(np.searchsorted(side, side[0], "right"))
+        one = cut == len(side)
+        links, pairs = np.zeros(len(side), np.int64), []
+        for x in range(0, cut, tile):
+            xs = slice(x, min(x + tile, cut))
+            for y in range(x if one else cut, len(side), tile):
+                ys = slice(y, min(y + tile, len(side)))
+                # the margin is far above what single precision loses
+                near = head[xs] @ head[ys].T + rest[xs, None] * rest[ys] >= threshold - 1e-4
+                if x == y:
+                    near = np.triu(near, 1)
+                number = np.count_nonzero(near)
+                if number > near.size // 50:
+                    near &= (units[xs] @ units[ys].T >= threshold) & (dims[xs, None] == dims[ys])
+                    a, b = np.nonzero(near)
+                elif number:
+                    a, b = np.nonzero(near)
+                    good = (np.einsum("ij,ij->i", units[x + a], units[y + b]) >= threshold) & (dims[x + a] == dims[y + b])
+                    a, b = a[good], b[good]
+                else:
+                    continue
+                a, b = a + x, b + y
+                links += np.bincount(a, many[b], len(side)).astype(np.int64) + np.bincount(b, many[a], len(side)).astype(np.int64)
+                new = comp[a] != comp[b]
+                if new.any():
+                    pairs += map(tuple, np.unique(np.stack((comp[a[new]], comp[b[new]]), axis=1), axis=0).tolist())
+                if len(pairs) > 200_000:
+                    pairs = forest(pairs)
+        pairs, some = forest(pairs), np.flatnonzero(links)
+        none = lambda n: pa.nulls(n, pa.int64())
+        told = pa.table({"id": pa.array(own[some]), "links": pa.array(links[some]), "a": none(len(some)), "b": none(len(some))})
+        more = pa.table({"id": none(len(pairs)), "links": none(len(pairs)), "a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        return pa.concat_tables([told, more])
 
     return run
 
@@ -170,8 +186,8 @@ def _prober(units: np.ndarray, dims: np.ndarray, nodes: np.ndarray, comps: np.nd
                 if len(r):  # components stand for their members
                     missed += map(tuple, np.unique(np.stack((comps[q], comp[r]), axis=1), axis=0).tolist())
                 if len(missed) > 200_000:
-                    missed = _forest(missed)
-        missed = _forest(missed)
+                    missed = forest(missed)
+        missed = forest(missed)
         some = np.flatnonzero(links)
         none = lambda n: pa.nulls(n, pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), none(len(some)), pa.array(links[some]), pa.array(found[some])], ["a", "b", "links", "found"])
@@ -197,23 +213,38 @@ def _drawn(placed: DataFrame, probes: int, number: int) -> tuple[np.ndarray, np.
     return units, dims, np.array([r.id for r in got], np.int64), np.array([r.component for r in got], np.int64)
 
 
-def _linked(classes: DataFrame, kind: str, *, threshold: float, passes: int, at_once: int, bits: int, window: int, block: int, seed: int, recall: float, probes: int) -> DataFrame:
-    """(node, component) for every vector of classes (node, v) with a link found; goes on until the measured recall is met."""
+def _compared(members: DataFrame, *, threshold: float, tile: int) -> DataFrame:
+    """(id, links) and (a, b), links between components, for members (id, v, many, c, b, blocks) of blocks that all meet."""
+    return stored(_dealt(members).groupBy("i", "j").applyInArrow(_block_links(threshold, tile), "id long, links long, a long, b long"), "vector-links")
+
+
+def _dealt_all(classes: DataFrame, comp: DataFrame | None, block: int) -> DataFrame:
+    """All classes in blocks by hash: of `block` vectors, or so many more that there are 64 blocks, up to 65,536 a block."""
+    total = classes.count()
+    blocks = max(1, -(-total // min(65_536, max(block, -(-total // 64)))))
+    placed = classes.withColumn("c", F.col("node")) if comp is None else classes.join(comp.select("node", F.col("component").alias("c")), "node", "left")
+    return placed.select(F.col("node").alias("id"), "v", "many", F.coalesce("c", "node").alias("c"), F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("b"), F.lit(blocks).alias("blocks"))
+
+
+def _passes(classes: DataFrame, kind: str, numbers: list[int], edges: DataFrame | None, drawn, *, threshold: float, at_once: int, bits: int, window: int, seed: int) -> DataFrame:
+    """edges and what the passes of these numbers link."""
+    for first in range(0, len(numbers), at_once):
+        keyed = classes.select(F.col("node").alias("id"), "v").mapInArrow(_keys(numbers[first : first + at_once], bits, seed, drawn), f"pass int, dims int, key long, id long, v {kind}")
+        found = stored(keyed.repartitionByRange("pass", "dims", "key", "id").sortWithinPartitions("pass", "dims", "key", "id").mapInArrow(_windows(threshold, window), "a long, b long"), "vector-links")
+        edges = found if edges is None else edges.unionByName(found)
+    return edges
+
+
+def _measured(classes: DataFrame, kind: str, *, threshold: float, passes: int, at_once: int, bits: int, window: int, block: int, tile: int, seed: int, recall: float, probes: int) -> DataFrame:
+    """(node, component) for every vector of classes (node, v, many) with a link found; goes on until the measured recall is met."""
     total, drawn, edges, number = classes.count(), None, None, 0
     while True:
-        exact = number > 0 and 2 * passes * window >= total
-        if exact:
-            blocks = -(-total // block)
-            members = classes.select(F.col("node").alias("id"), "v", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("b"), F.lit(blocks).alias("blocks"))
-            found = stored(_dealt(members).groupBy("i", "j").applyInArrow(_pair_linker(threshold), "a long, b long"), "vector-links")
-            edges = found.unionByName(edges)
-        for first in range(0, 0 if exact else passes, at_once):
-            numbers = [number * passes + k for k in range(first, min(passes, first + at_once))]
-            keyed = classes.select(F.col("node").alias("id"), "v").mapInArrow(_keys(numbers, bits, seed, drawn), f"pass int, dims int, key long, id long, v {kind}")
-            found = stored(keyed.repartitionByRange("pass", "dims", "key", "id").sortWithinPartitions("pass", "dims", "key", "id").mapInArrow(_windows(threshold, window), "a long, b long"), "vector-links")
-            edges = found if edges is None else edges.unionByName(found)
+        if number > 0 and 2 * passes * window >= total:
+            found = _compared(_dealt_all(classes, None, block), threshold=threshold, tile=tile)
+            return stored(components(found.where("a is not null").select("a", "b").unionByName(edges), "vector-components"), "vector-members")
+        edges = _passes(classes, kind, [number * passes + k for k in range(passes)], edges, drawn, threshold=threshold, at_once=at_once, bits=bits, window=window, seed=seed)
         comp = stored(components(edges, "vector-components"), "vector-members")
-        if exact or not total:
+        if not total:
             return comp
         placed = stored(classes.join(comp, "node", "left").select(F.col("node").alias("id"), "v", F.coalesce("component", "node").alias("component")), "vector-placed")
         probe = _drawn(placed, probes, number)
@@ -226,7 +257,7 @@ def _linked(classes: DataFrame, kind: str, *, threshold: float, passes: int, at_
         drawn, number, window = probe[:2], number + 1, 2 * window
 
 
-def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, passes: int = 24, at_once: int = 8, bits: int = 62, window: int = 64, block: int = 1024, seed: int = 1, recall: float = 0.99, probes: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, complete: bool = True, passes: int = 8, at_once: int = 8, bits: int = 62, window: int = 64, block: int = 8192, tile: int = 1024, seed: int = 1, recall: float = 0.99, probes: int = 4096) -> DataFrame:
     """vectors with `n_links`, `component_id` and `kept` added (columns of these names are replaced)."""
     names = [c for c in vectors.columns if c not in ("n_links", "component_id", "kept")]
     # single precision is carried as it is, which loses nothing and takes half the room; cosines are of doubles
@@ -237,14 +268,23 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
     rows = rows.withColumn("h1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("h2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit("second"), "v")))
     good = rows.where(F.col("v").isNotNull())
     classes = good.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("many"))
-    # one vector of a class: the row of the least id; repeated rows of it are equal
-    classes = stored(good.join(classes, ["h1", "h2", "id"]).groupBy("h1", "h2", "id", "many").agg(F.any_value("v").alias("v")), "vector-classes")
-    # an id that several different vectors carry stands for the class of each: number classes apart from ids
-    classes = stored(classes.withColumn("node", F.xxhash64("h1", "h2")), "vector-nodes")
-    comp = _linked(classes.select("node", "v"), kind, threshold=threshold, passes=passes, at_once=at_once, bits=bits, window=window, block=block, seed=seed, recall=recall, probes=probes)
-    sizes = comp.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = classes.join(comp, "node").join(sizes, "component").select(F.col("node").alias("id"), "v", "many", "component", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("b"), "blocks")
-    counted = _dealt(members).groupBy("component", "i", "j").applyInArrow(_counter(threshold), "id long, links long").groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
+    # one vector of a class: the row of the least id; repeated rows of it are equal. An id that several different vectors
+    # carry stands for the class of each: number classes apart from ids
+    classes = good.join(classes, ["h1", "h2", "id"]).groupBy("h1", "h2", "id", "many").agg(F.any_value("v").alias("v"))
+    classes = stored(classes.withColumn("node", F.xxhash64("h1", "h2")), "vector-classes")
+    own = classes.select("node", "v", "many")
+    common = {"threshold": threshold, "at_once": at_once, "bits": bits, "window": window, "seed": seed}
+    if complete:
+        comp = components(_passes(own, kind, list(range(passes)), None, None, **common), "vector-components")
+        found = _compared(_dealt_all(own, comp, block), threshold=threshold, tile=tile)
+        edges = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found.where("a is not null").select("a", "b"))
+        comp = components(edges, "vector-all")
+    else:
+        comp = _measured(own, kind, passes=passes, block=block, tile=tile, recall=recall, probes=probes, **common)
+        sizes = comp.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        members = own.join(comp, "node").join(sizes, "component").select(F.col("node").alias("id"), "v", "many", F.col("component").alias("c"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("b"), "blocks")
+        found = stored(_dealt(members).groupBy("c", "i", "j").applyInArrow(_block_links(threshold, tile), "id long, links long, a long, b long"), "vector-links")
+    counted = found.where("id is not null").groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
     ends = classes.select("h1", "h2", "node", "id", "many").join(comp, "node", "left").join(counted, "node", "left").select("h1", "h2", "id", "many", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     ends = ends.join(ends.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("h1", "h2", "component_id", (F.col("links") + F.col("many") - 1).alias("n_links"))
     some = good.join(ends, ["h1", "h2"]).select("_row.*", "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
