@@ -150,12 +150,9 @@ def dedup_lines(docs: DataFrame, *, edits: int = 2, least: int = 20, doc: str =
     lines = split.select("id", "u", F.posexplode("lines").alias("p", "line")).where(F.length("line") >= least)
     seen = stored(lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), "id", "u", "p"), "line-seen")
     firsts = stored(seen.groupBy("h1", "h2").agg(F.min(F.struct("id", "u", "p")).alias("f")).select("h1", "h2", F.col("f.id").alias("fid"), F.col("f.u").alias("fu"), F.col("f.p").alias("fp")), "line-firsts")
-    again = stored(seen.join(firsts, ["h1", "h2"]).where("u <> fu or p <> fp").select("u", "p").distinct(), "line-again")
-
-    few = smaller_than(again, broadcast_rows)
-    gathered = again.groupBy("u").agg(F.collect_list("p").alias("gone"))
-    once = split.join(F.broadcast(gathered) if few else gathered, "u", "left").select("id", "u", F.posexplode("lines").alias("p", "line"), "gone")
-    once = once.where((F.length("line") >= least) & ~F.coalesce(F.array_contains("gone", F.col("p")), F.lit(False))).select("id", "u", "p", "line")
+    # by place, which is no hot key however often a line stands
+    again = stored(seen.join(firsts.select(F.col("fu").alias("u"), F.col("fp").alias("p")), ["u", "p"], "left_anti").select("u", "p").distinct(), "line-again")
+    once = lines.join(F.broadcast(again) if smaller_than(again, broadcast_rows) else again, ["u", "p"], "left_anti").select("id", "u", "p", "line")
 
     def texts(at: DataFrame) -> DataFrame:
         wanted = at.groupBy("u").agg(F.collect_list("p").alias("at"))
@@ -168,7 +165,8 @@ def dedup_lines(docs: DataFrame, *, edits: int = 2, least: int = 20, doc: str =
     gone = again.select("u", "p", F.lit(0).alias("near")).union(near.select("u", "p", F.lit(1).alias("near")))
     drops = gone.groupBy("u").agg(F.collect_list("p").alias("gone"), F.sum("near").alias("n_near"))
     out = rows.join(F.broadcast(drops) if smaller_than(gone, broadcast_rows) else drops, "u", "left").withColumn("lines", F.split("text", "\n", -1))
-    kept = F.filter("lines", lambda line, i: ~F.array_contains("gone", i))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.transform(left, lambda i: F.get("lines", i))
     return out.select(
         "_row.*",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
