@@ -41,7 +41,7 @@ def op4_subword_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op5_disclosure_pii(spark: SparkSession, sf: str) -> DataFrame:
     out = pii.sanitise(_read(spark, sf, "documents").select("doc_id", "text"))
     number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select("doc_id", *map(number, pii.PATTERNS), F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+    return out.select("doc_id", *map(number, pii.PATTERNS), F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_sum_of_squares_packing(spark: SparkSession, sf: str) -> DataFrame:
