@@ -1,16 +1,19 @@
 """Chat formatting of reply trees, with DataFrame functions only.
 
-Messages form trees (parent ids). Iterative self-joins that double their reach enumerate root-to-leaf paths: after round k
-every (leaf, ancestor) pair up to 2**k apart is known, so a thread of n turns takes log2(n) joins, not n. Branches of a
-tree are ranked by score, and each chosen path becomes one conversation.
+Messages form trees (parent ids). Iterative self-joins that double their reach follow the pointers: after round k every
+message knows its ancestor 2**k up and the scores summed on the way, so threads of n turns take log2(n) joins, not n. When
+all have come to their root, branches of a tree are ranked by their paths' scores, and only then are the chosen leaves'
+root-to-leaf paths enumerated, by the same pointers. Each chosen path becomes one conversation.
 
 Template: `<|im_start|>ROLE\\nTEXT<|im_end|>\\n` a turn. A run of backslashes between `<` and `|` in a text gets one more
 backslash, so no text can hold a control string; `unescape` takes it away again. In roles, backslash and newline are
 escaped too. `loss_spans` are the code-point spans of the escaped assistant texts.
 
 A conversation is one row of output, and no more than its own turns ever meet in a task. Edge cases: null text and role
-are empty; turns tie-break by role and text; a repeated row is a turn of its own; an empty table gives no rows; a message
-whose parent is missing is a root; the null key is a tree like any other.
+are empty; turns tie-break by role and text; a repeated row of turns is a turn of its own; of messages that repeat a node of
+their tree the least (by parent, role, text) counts; an empty table gives no rows; a message whose parent is missing is a
+root, and so is the least message of a cycle of parents; the null key is a tree like any other, a message without a node
+is none. Only the named columns are read; others are not in the output.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from trellis.llm.common import stored
+from trellis.llm.common import running, stored
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -47,47 +50,70 @@ def threads(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role
     return rows.select("tree", F.row_number().over(w).cast("long").alias("node"), "role", "text").select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up): every ancestor of every leaf and how far up it is, the leaf itself included at 0."""
-    links = stored(messages.select("tree", "node", "parent"), "chat-links")
-    same = F.col("tree").eqNullSafe(F.col("t"))
-    known = links.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    jump = links.join(known, same & (F.col("parent") == F.col("n")), "left_semi").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("parent").alias("to"))
-    leaves = links.join(jump.select("t", F.col("to").alias("n")).distinct(), same & (F.col("node") == F.col("n")), "left_anti")
-    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    reach = 1
-    while True:
-        more = stored(found.join(jump, same & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + reach).alias("up")), "chat-paths")
-        if more.isEmpty():
-            return found
-        found = found.unionByName(more)
-        two = jump.select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("to").alias("to2"))
-        jump = stored(jump.join(two, F.col("t").eqNullSafe(F.col("t2")) & (F.col("to") == F.col("n2"))).select("t", "n", F.col("to2").alias("to")), "chat-jumps")
-        reach *= 2
+def _same(x: str, y: str) -> Column:
+    return F.col(x).eqNullSafe(F.col(y))
+
+
+def _cut(links: DataFrame, circling: DataFrame, rounds: int) -> DataFrame:
+    """links without the parent of each cycle's least message. circling: (t, n) of the messages on cycles."""
+    at = links.join(circling, _same("tree", "t") & (F.col("node") == F.col("n")), "left_semi").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("parent").alias("to"), F.col("node").alias("least"))
+    for _ in range(rounds):
+        on = at.select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("to").alias("to2"), F.col("least").alias("least2"))
+        at = stored(at.join(on, _same("t", "t2") & (F.col("to") == F.col("n2"))).select("t", "n", F.col("to2").alias("to"), F.least("least", "least2").alias("least")), "chat-cycles")
+    roots = at.where("n = least").select("t", "n", F.lit(True).alias("opens"))
+    return stored(links.join(roots, _same("tree", "t") & (F.col("node") == F.col("n")), "left").select("tree", "node", F.when(F.col("opens").isNull(), F.col("parent")).alias("parent"), "score"), "chat-links")
+
+
+def pointers(links: DataFrame) -> list[DataFrame]:
+    """Per round k: (t, n, to, s): each message's ancestor 2**k up (null beyond the root) and the scores on the way there.
+
+    links: (tree, node, parent, score), nodes once, parents that exist. In the last round every `to` is null.
+    """
+    levels = [links.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("parent").alias("to"), F.col("score").alias("s"))]
+    most = links.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while not levels[-1].where("to is not null").isEmpty():
+        now = levels[-1]
+        if 2 ** (len(levels) - 1) > most:
+            return pointers(_cut(links, now.where("to is not null").select("t", F.col("to").alias("n")).distinct(), len(levels)))
+        on = now.select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("to").alias("to2"), F.col("s").alias("s2"))
+        levels.append(stored(now.join(on, _same("t", "t2") & (F.col("to") == F.col("n2")), "left").select("t", "n", F.col("to2").alias("to"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s")), "chat-pointers"))
+    return levels
+
+
+def paths(messages: DataFrame, best: int | None) -> DataFrame:
+    """(tree, leaf, branch, score, node, up): the messages of the `best` paths of each tree (None: all), the leaf at up = 0."""
+    known = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.lit(True).alias("found"))
+    links = messages.join(known, _same("tree", "t") & (F.col("parent") == F.col("n")), "left").select("tree", "node", F.when(F.col("found"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    levels = pointers(stored(links, "chat-links"))
+    leaves = levels[-1].join(levels[0].where("to is not null").select(F.col("t").alias("t2"), F.col("to").alias("n2")).distinct(), _same("t", "t2") & (F.col("n") == F.col("n2")), "left_anti")
+    ranked = leaves.withColumn("branch", F.row_number().over(W.partitionBy("t").orderBy(F.desc("s"), "n")))
+    if best is not None:
+        ranked = ranked.where(F.col("branch") <= best)
+    found = stored(ranked.select(F.col("t").alias("tree"), F.col("n").alias("leaf"), "branch", F.col("s").alias("score"), F.col("n").alias("node"), F.lit(0).cast("long").alias("up")), "chat-paths")
+    for k, level in enumerate(levels[:-1]):
+        on = level.where("to is not null").select("t", "n", "to")
+        more = found.join(on, _same("tree", "t") & (F.col("node") == F.col("n"))).select("tree", "leaf", "branch", "score", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))
+        found = found.unionByName(stored(more, "chat-paths"))
+    return found
 
 
 def format_trees(messages: DataFrame, *, best: int | None = 1, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(tree, leaf, score, branch, n_turns, formatted, loss_spans) for the `best` root-to-leaf paths of each tree (None: all).
 
-    A path's score is the sum of its messages' scores; branches rank by it, then by leaf.
+    messages: (tree, node, parent, role, text, score). A path's score is the sum of its messages' scores (null: 0); branches
+    rank by it, then by leaf.
     """
-    on = paths(messages)
-    body = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), F.col("role").isin(*trained).alias("loss"), F.col("score"))
-    turns = on.join(body, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
-    got = turns.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("k"), "role", "text", "loss"))).alias("m"))
-    got = got.withColumn("branch", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
-    if best is not None:
-        got = got.where(F.col("branch") <= best)
+    least = F.min(F.struct("parent", "role", "text", "score")).alias("m")
+    messages = stored(messages.where("node is not null").select("tree", "node", "parent", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")), "score").groupBy("tree", "node").agg(least).select("tree", "node", "m.*"), "chat-messages")
+    on = paths(messages.select("tree", "node", "parent", "score"), best)
+    body = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), F.col("role").isin(*trained).alias("loss"))
+    turns = on.join(body, _same("tree", "t") & (F.col("node") == F.col("n")))
+    got = turns.groupBy("tree", "leaf", "branch", "score").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("k"), "role", "text", "loss"))).alias("m"))
     head = lambda x: F.concat(F.lit(START), x["role"], F.lit("\n"))
-    walk = F.aggregate(
-        "m",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(head(x)) + F.length(x["text"]) + len(END)).alias("at"),
-            F.when(x["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + F.length(head(x))).alias("start"), (s["at"] + F.length(head(x)) + F.length(x["text"])).alias("end"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-    )
-    return got.select("tree", "leaf", "score", "branch", F.size("m").cast("long").alias("n_turns"), F.array_join(F.transform("m", lambda x: F.concat(head(x), x["text"], F.lit(END))), "").alias("formatted"), walk["spans"].alias("loss_spans"))
+    got = got.withColumn("ends", running(F.transform("m", lambda x: (F.length(head(x)) + F.length(x["text"]) + len(END)).cast("long"))))
+    stop = lambda i: F.get("ends", i) - len(END)
+    spans = F.transform("m", lambda x, i: F.when(x["loss"], F.struct((stop(i) - F.length(x["text"])).alias("start"), stop(i).alias("end"))))
+    return got.select("tree", "leaf", "score", "branch", F.size("m").cast("long").alias("n_turns"), F.array_join(F.transform("m", lambda x: F.concat(head(x), x["text"], F.lit(END))), "").alias("formatted"), F.filter(spans, lambda x: x.isNotNull()).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
