@@ -30,7 +30,7 @@ def brute_hits(text, items, window):
     return len(w), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("block", [10_000, 60])
+@pytest.mark.parametrize("block", [10_000, 9])
 def test_scan_equals_brute_force(spark, block):
     rng = random.Random(1)
     vocab = ["a", "B", "c1", "é", "ÉX", "🙂", "dd"]
@@ -38,7 +38,7 @@ def test_scan_equals_brute_force(spark, block):
     items = [(i, say(rng.randint(0, 12))) for i in range(12)] + [(None, "a B c1 dd"), (50, None), (51, " -- "), (52, "only")]
     texts = [None, "", "!!", "ONLY a", *(say(rng.randint(0, 60)) for _ in range(60)), "x " * 3000 + items[3][1].upper() + " x" * 3000]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, items string").repartition(3)
-    got = {r.doc_id: r for r in decontaminate.scan(docs, spark.createDataFrame(items, "item_id int, text string"), window=4, block_chars=block).collect()}
+    got = {r.doc_id: r for r in decontaminate.scan(docs, spark.createDataFrame(items, "item_id int, text string"), window=4, block_words=block).collect()}
     for i, t in enumerate(texts):
         r = got[i]
         assert (r.n_words, r.n_hit, r["items"]) == brute_hits(t, items, 4)
@@ -46,6 +46,16 @@ def test_scan_equals_brute_force(spark, block):
     assert decontaminate.scan(docs.limit(0), spark.createDataFrame([], "item_id int, text string")).collect() == []
 
 
+def test_long_items_are_cut_and_dealt(spark):
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(5000)}" for _ in range(900)]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, "w1 w2")], "item_id int, text string")
+    texts = [" ".join(long[k : k + 10]) for k in range(0, 891, 7)] + [" ".join(long[:9]), "w1 w2 w3", "x " + " ".join(long) + " y"]
+    got = decontaminate.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), items, block_words=64).collect()
+    for r in got:
+        assert (r.n_words, r.n_hit, r["items"]) == brute_hits(r.text, [(1, " ".join(long)), (2, "w1 w2")], 10)
+
+
 def test_fast_encoder_equals_tokenizers():
     slow, fast = Tokenizer.from_file(BPE), packing.encoder(BPE)
     rng = random.Random(2)
@@ -113,7 +123,7 @@ def test_trie_counts_equal_brute_force(spark):
     model = token_counts.scores(path)
     texts = [None, "", " \n ", "the then there theme", "the 🙂 naïve Überraschung 日本語 xqzzk", "a " * 500 + "zzz" * 400, "the then there theme"]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
-    for r in token_counts.token_counts(df, path, most_words=2).collect():
+    for r in token_counts.token_counts(df, path, most_words=2, most_nodes=5).collect():
         w = (texts[r.doc_id] or "").split()
         assert r.n_pretokens == len(w) and r.n_tokens == sum(brute_count("▁" + x, model) for x in w)
     assert token_counts.token_counts(df.limit(0), path).collect() == []

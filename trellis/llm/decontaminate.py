@@ -1,13 +1,16 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Test questions and answers are normalised to words and cut into windows of `window` consecutive words; all windows go
-into one automaton. Each document is normalised alike and scanned once; hits are mapped back to words, and from there to
+into one automaton, whose letters are whole words: every distinct word of the benchmark is one character, so a window is a
+path of `window` nodes and can only match from word to word. Each document is normalised alike, its words are looked up
+(any other word is a character that no window has) and it is scanned once; hits are places of words, and from there
 code-point spans of the original text.
 
-Memory: an automaton is built from at most `block_chars` characters of benchmark text, checked before anything is
-collected. A larger benchmark is dealt into as many blocks by a hash of the text, the documents are scanned once a block
-and the hits so far are carried along in a written table, so neither driver nor executors ever hold more than a block.
-Documents are never shuffled, so no source or copied text can become a hot key.
+Memory: an automaton is built from windows that begin at about `block_words` words of the benchmark, so it has at most
+`window` times as many nodes (of some 100 bytes). Items are cut into pieces that overlap by a window less a word, and the
+pieces of a larger benchmark are dealt into as many blocks as it takes by a hash, checked before anything is collected; the
+documents are scanned once a block and the hits so far are carried along in a written table. So neither driver nor executors
+ever hold more than a block. Documents are never shuffled, so no source or copied text can become a hot key.
 
 Edge cases: null or wordless documents have n_words = n_hit = 0 and no items. Null or wordless items have no window. An
 item without an id still marks words but is not listed. Repeated documents and items give repeated rows and one listing.
@@ -16,9 +19,7 @@ item without an id still marks words but is not listed. Repeated documents and i
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ from trellis.llm.common import small_batches, stored, text_of
 
 #: Bytes to words: A-Z lowered, other ASCII besides letters and digits is a gap, all else belongs to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = re.compile(_WORDS)
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BUILT: dict[str, object] = {}
 
 
@@ -36,36 +39,33 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def automaton(items: list[tuple[str | None, str | None]], window: int):
-    """The automaton over all windows; a window's value is its length in words and the ids of its items."""
+    """(automaton, character of each word) of all windows; a window's value is its length in words and the ids of its items."""
     import ahocorasick
 
-    owners: dict[tuple[bytes, ...], set[str]] = {}
+    signs: dict[bytes, str] = {}
+    owners: dict[str, set[str]] = {}
     for item, text in items:
-        w = words_of(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            owners.setdefault(tuple(w[i : i + window]), set()).update([item] if item is not None else [])
+        # from 1, past the surrogates
+        line = "".join(signs.setdefault(w, chr(n + 1 if (n := len(signs)) < 0xD7FF else n + 0x801)) for w in words_of(text))
+        for i in range(max(1, len(line) - window + 1) if line else 0):
+            owners.setdefault(line[i : i + window], set()).update([item] if item is not None else [])
+    if not owners:
+        return None, signs
     auto = ahocorasick.Automaton()
     for k, ids in owners.items():
-        auto.add_word(" " + b" ".join(k).decode() + " ", (len(k), frozenset(ids)))
+        auto.add_word(k, (len(k), frozenset(ids)))
     auto.make_automaton()
-    return auto if owners else None
+    return auto, signs
 
 
-def find(auto, text: str | None) -> tuple[int, list[int], set[str]]:
+def find(auto, signs: dict[bytes, str], text: str | None) -> tuple[int, list[int], set[str]]:
     """Number of words, runs of hit words as a flat list of first and end, ids of items found."""
-    if not text:
-        return 0, [], set()
     w = words_of(text)
-    if auto is None or not w:
-        return len(w), [], set()
-    line = " " + b" ".join(w).decode() + " "
-    gaps, runs, ids = None, [], set()
-    for end, (k, owners) in auto.iter(line):
-        if gaps is None:
-            gaps = list(accumulate((len(x) + 1 for x in line[1:-1].split(" "))))
-        last = bisect_left(gaps, end) + 1
-        runs.append((last - k, last))
-        ids |= owners
+    runs, ids = [], set()
+    if auto is not None and w:
+        for end, (k, owners) in auto.iter("".join([signs.get(x, "\0") for x in w])):
+            runs.append((end + 1 - k, end + 1))
+            ids |= owners
     return len(w), merged(runs), ids
 
 
@@ -86,11 +86,11 @@ def _scanner(items, window: int, key: str, last: bool):
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = automaton(items.value, window)
-        auto = _BUILT[key]
+        auto, signs = _BUILT[key]
         for batch in batches:
             n, hit, found, spans = [], [], [], []
             for text, old, ids in zip(batch["_text"].to_pylist(), batch["_hit"].to_pylist(), batch["_items"].to_pylist(), strict=True):
-                count, runs, more = find(auto, text)
+                count, runs, more = find(auto, signs, text)
                 if old:
                     runs = merged([*zip(old[::2], old[1::2], strict=True), *zip(runs[::2], runs[1::2], strict=True)])
                 n.append(count)
@@ -106,16 +106,21 @@ def _scanner(items, window: int, key: str, last: bool):
     return scan
 
 
-def scan(docs: DataFrame, items: DataFrame, *, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, *, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = 200_000) -> DataFrame:
     """docs with `n_words`, `n_hit`, `items` (ids as strings, sorted) and `spans` (code points of the original text) added.
 
     Columns of docs keep their places; one that has an added column's name is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = items.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where(F.col("t").isNotNull())
-    total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first().n
-    blocks = -(-total // block_chars) or 1
+    words = F.regexp_extract_all(F.translate(F.col(item_text).cast("string"), _UPPER, _UPPER.lower()), F.lit(_WORDS), F.lit(0))
+    items = items.select(F.col(item).cast("string").alias("i"), words.alias("w")).where(F.size("w") > 0)
+    piece = min(block_words, 20_000)
+    number = F.greatest(F.lit(1), F.ceil((F.size("w") - window + 1) / piece)).cast("int")
+    items = items.select("i", "w", F.explode(F.sequence(F.lit(0), number - 1)).alias("k")).select("i", F.slice("w", F.col("k") * piece + 1, F.lit(piece + window - 1)).alias("w"))
+    items = items.select("i", F.size("w").alias("n"), F.array_join("w", " ").alias("t"))
+    total = items.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    blocks = -(-total // block_words) or 1
     names = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
     df = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), text_of(text).alias("_text"), F.lit(0).cast("long").alias("_n"), F.array().cast("array<int>").alias("_hit"), F.array().cast("array<string>").alias("_items"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("_spans"))
     for k in range(blocks):
