@@ -43,6 +43,22 @@ def test_held_out_accuracy(tables, module, column, cut):
         assert got[10_002] >= 0.5 > got[10_003]  # an ending that was never seen
 
 
+@pytest.mark.parametrize(("module", "label", "cut", "least"), [(toxicity, "toxic", 0.5, 0.7), (quality, "quality", 0.3, 0.9)])
+def test_held_out_rows_of_the_documents(spark, module, label, cut, least):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = module.train(docs.select("doc_id", "text"), labels)
+    got = {r.doc_id: r.score for r in module.score(docs.select("doc_id", "text"), model).select("doc_id", "score").collect()}
+    held = [(got[r.doc_id] >= cut, r[label] == 1) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.doc_id in got]
+    caught = [a for a, b in held if b]
+    alone = [not a for a, b in held if not b]
+    assert len(held) > 500 and np.mean(caught) >= least and np.mean(alone) >= 0.9, (np.mean(caught), np.mean(alone))
+    # one text by itself scores as it does among others
+    some = docs.where("doc_id % 997 = 0").select("doc_id", "text").collect()
+    for r in some:
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        assert abs(model.score(data, np.array([0, len(data)]))[0] - got[r.doc_id]) < 1e-6
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_no_labels_and_no_documents(spark, module):
     docs = spark.createDataFrame([(1, "some text", 9.0), (2, None, 9.0)], "doc_id long, text string, score double")

@@ -66,3 +66,11 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, line), (1, line), (1, line + "\nmore"), (2, line)], "doc_id long, text string")
     assert sorted(r.kept_text for r in line_dedup.dedup_lines(df).collect()) in (sorted([line, line, "more", ""]), sorted(["", "", line + "\nmore", ""]))
     assert line_dedup.dedup_lines(df.limit(0)).collect() == []
+
+
+def test_text_of_many_repeated_lines(spark):
+    line = "a line that is long enough to count"
+    texts = [(1, "\n".join([line] * 100_000)), (2, "\n".join(f"line number {i:06} of a long text" for i in range(300)))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[1].kept_text == line and (got[1].n_lines, got[1].n_exact) == (100_000, 99_999)
+    assert got[2].n_exact == 0 and got[2].n_near > 250

@@ -1,23 +1,22 @@
 """Token counts under a unigram model, by dynamic programming shared along a trie of distinct pre-tokens.
 
 Pre-tokens are the words of a text (between white space), each with the word mark in front. The forward score of a prefix
-depends on the prefix alone, so the distinct pre-tokens of a partition are put in a trie, here in its sorted layout: words
-in order, where a word's first `shared` positions are the nodes that it has in common with the word before. Scores and
-counts are computed once a node, along a stack; what a word's last node holds is its terminal count, and a text's count is
-the sum over its words.
+depends on the prefix alone, so the distinct pre-tokens of a partition are inserted into a trie: a node holds its prefix's
+best score and number of tokens, worked out once from the nodes above it, and its children. What a word's last node holds is
+its terminal count, which is stored for the word; a text's count is the sum over its words.
 
 Vocabulary: the pieces of a public SentencePiece file, which is never trained. Its ids are ranks, so a piece of rank r gets
 the unigram score -log(r + 1) (Zipf's law), byte pieces apart; a character outside the vocabulary falls back to its UTF-8
 bytes, one token and a fixed penalty each. The best segmentation has the greatest score; on equal scores the fewest tokens.
 
-Nothing is shuffled and a partition's table of counts is bounded by its own distinct words; it is emptied past
-`most_words`, which costs time only. Edge cases: null, empty or blank text counts 0; repeated rows give repeated rows.
+Nothing is shuffled. A partition's trie is emptied past `most_nodes` nodes and its stored counts past `most_words` words,
+which costs time only. Edge cases: null, empty or blank text counts 0; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,31 +39,34 @@ def scores(path: str) -> dict[str, float]:
     return _MODELS[path]
 
 
-def count_words(words: Iterable[str], model: dict[str, float]) -> dict[str, int]:
-    """Terminal counts of distinct words, visited in trie order."""
-    longest = max(map(len, model), default=1)
-    best, tokens, before, out = [0.0], [0], "", {}
-    for word in sorted(words):
-        shared, top = 0, min(len(word), len(before))
-        while shared < top and word[shared] == before[shared]:
-            shared += 1
-        del best[shared + 1 :], tokens[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            n = len(word[end - 1].encode("utf-8", "replace"))
-            s, t = best[end - 1] + n * _BYTE_PENALTY, tokens[end - 1] + n
-            for start in range(max(0, end - longest), end):
-                p = model.get(word[start:end])
-                if p is not None:
-                    v, w = best[start] + p, tokens[start] + 1
-                    if v > s or v == s and w < t:
-                        s, t = v, w
-            best.append(s)
-            tokens.append(t)
-        out[word], before = tokens[-1], word
-    return out
-
-
-def token_counts(docs: DataFrame, vocabulary: str, *, text: str = "text", most_words: int = 2_000_000) -> DataFrame:
+class Trie:
+    """Prefixes with their forward scores: a node is [best score, tokens of it, children by character]."""
+
+    def __init__(self, model: dict[str, float]):
+        self.model, self.longest = model, max(map(len, model), default=1)
+        self.root, self.nodes = [0.0, 0, {}], 0
+
+    def count(self, word: str) -> int:
+        """The word's terminal count; makes the nodes that are missing."""
+        path, node = [self.root], self.root
+        for end, c in enumerate(word, 1):
+            node = node[2].get(c)
+            if node is None:
+                n = len(c.encode("utf-8", "replace"))
+                s, t = path[-1][0] + n * _BYTE_PENALTY, path[-1][1] + n
+                for start in range(max(0, end - self.longest), end):
+                    p = self.model.get(word[start:end])
+                    if p is not None:
+                        v, w = path[start][0] + p, path[start][1] + 1
+                        if v > s or v == s and w < t:
+                            s, t = v, w
+                node = path[-1][2][c] = [s, t, {}]
+                self.nodes += 1
+            path.append(node)
+        return node[1]
+
+
+def token_counts(docs: DataFrame, vocabulary: str, *, text: str = "text", most_words: int = 2_000_000, most_nodes: int = 1_000_000) -> DataFrame:
     """docs with `n_pretokens` and `n_tokens` added (columns of these names are replaced)."""
     small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_pretokens", "n_tokens")]
@@ -72,13 +74,15 @@ def token_counts(docs: DataFrame, vocabulary: str, *, text: str = "text", most_w
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model, known = scores(vocabulary), {}
+        trie, known = Trie(scores(vocabulary)), {}
         for batch in batches:
             lists = [t.split() for t in batch["_text"].to_pylist()]
             if len(known) > most_words:
                 known.clear()
-            if fresh := set().union(*lists).difference(known):
-                known.update((w[1:], n) for w, n in count_words((MARK + w for w in fresh), model).items())
+            for word in set().union(*lists).difference(known):
+                if trie.nodes > most_nodes:
+                    trie = Trie(trie.model)
+                known[word] = trie.count(MARK + word)
             get = known.__getitem__
             yield pa.RecordBatch.from_arrays([batch["_row"], pa.array([len(x) for x in lists], pa.int64()), pa.array([sum(map(get, x)) for x in lists], pa.int64())], ["_row", "n_pretokens", "n_tokens"])
 
