@@ -47,7 +47,7 @@ def test_ngram_join_equals_brute_force(spark):
     for seed, n, percent, rounds in ((1, 4, 85, 3), (2, 5, 80, 1), (3, 2, 60, 0)):
         texts = corpus(np.random.default_rng(seed))
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-        got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(df, n=n, percent=percent, block=16, rounds=rounds).collect()}
+        got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(df, n=n, percent=percent, block=16, few=8, rounds=rounds).collect()}
         assert [got[i] for i in range(len(texts))] == brute_classes(texts, n, percent)
 
 

@@ -13,7 +13,7 @@ one order of all tokens, so candidates must do so under each of several orders:
 
 Buckets are not expanded into all pairs. First each meets one member of its own, the pivot, in `rounds` rounds with other
 pivots, and what these pairs link makes groups: a bucket whose members are all in one group is done. Of what is left, buckets
-of at most `block` members give the pairs of members of different groups, as ids; larger ones give pairs of blocks, each
+of at most `few` members give the pairs of members of different groups, as ids; larger ones give pairs of blocks, each
 once however many buckets two blocks share. Sets are worked out once for each class that shares a bucket and come together
 where they are verified, in tasks of at most `block` sets a side, however hot a token or large a group is. A pair that is
 connected already within its task is not verified again: a task returns a spanning forest, never all pairs.
@@ -257,7 +257,7 @@ def _grouped(members: DataFrame, links: DataFrame | None) -> DataFrame:
     return stored(placed.join(mixed, "token", "left_semi"), "ngram-mixed")
 
 
-def jaccard_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text", block: int = 256, rounds: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text", block: int = 256, few: int = 32, rounds: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(id, n_shingles, component_id, x, component) for each row of docs: component_id is the least id that links of at least
     percent/100 reach, x the text's xxhash64, component the group itself (null without shingles)."""
     small_batches(docs.sparkSession)
@@ -303,7 +303,7 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, doc: str
     else:
         live = _grouped(live, found)
     if not live.isEmpty():
-        large = stored(live.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > block).select("token"), "ngram-large")
+        large = stored(live.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > few).select("token"), "ngram-large")
         if not large.isEmpty():
             found = both_of(found, _dense(live.join(large, "token", "left_semi"), sets, percent, block))
             live = stored(live.join(large, "token", "left_anti"), "ngram-small")
