@@ -1,13 +1,13 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Test questions and answers are normalised to words and cut into windows of `window` consecutive words; all windows go
-into one automaton, whose letters are whole words: every distinct word of the benchmark is one character, so a window is a
-path of `window` nodes and can only match from word to word. Each document is normalised alike, its words are looked up
-(any other word is a character that no window has) and it is scanned once; hits are places of words, and from there
-code-point spans of the original text.
+into one automaton. Every distinct word of the benchmark is written with two or three letters, those of each place out of 64 of
+its own, so no node has many children, a window is a short path and can only match from word to word. Each document is
+normalised alike, its words are looked up (any other word is written with letters that no window has) and it is scanned once;
+hits are places of words, and from there code-point spans of the original text.
 
-Memory: an automaton is built from windows that begin at about `block_words` words of the benchmark, so it has at most
-`window` times as many nodes (of some 100 bytes). Items are cut into pieces that overlap by a window less a word, and the
+Memory: an automaton is built from windows that begin at about `block_words` words of the benchmark, so it has at most three
+times `window` times as many nodes (of some 100 bytes). Items are cut into pieces that overlap by a window less a word, and the
 pieces of a larger benchmark are dealt into as many blocks as it takes by a hash, checked before anything is collected; the
 documents are scanned once a block and the hits so far are carried along in a written table. So neither driver nor executors
 ever hold more than a block. Documents are never shuffled, so no source or copied text can become a hot key.
@@ -38,33 +38,48 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_FOLD).split()
 
 
+class Signs(dict):
+    """How each of some words is written, `width` letters a word; other words are written with blanks."""
+
+    def __init__(self, words: list[bytes]):
+        self.width = 1
+        while 64**self.width < len(words):
+            self.width += 1
+        self.blank = "\0" * self.width
+        super().__init__((w, "".join(chr(64 * (k + 1) + n // 64**k % 64) for k in range(self.width))) for n, w in enumerate(words))
+
+    def written(self, words: list[bytes]) -> str:
+        return "".join([self.get(w, self.blank) for w in words])
+
+
 def automaton(items: list[tuple[str | None, str | None]], window: int):
-    """(automaton, character of each word) of all windows; a window's value is its length in words and the ids of its items."""
+    """(automaton, signs) of all windows; a window's value is its length in words and the ids of its items."""
     import ahocorasick
 
-    signs: dict[bytes, str] = {}
+    lists = [(item, words_of(text)) for item, text in items]
+    signs = Signs(list(dict.fromkeys(w for _, x in lists for w in x)))
     owners: dict[str, set[str]] = {}
-    for item, text in items:
-        # from 1, past the surrogates
-        line = "".join(signs.setdefault(w, chr(n + 1 if (n := len(signs)) < 0xD7FF else n + 0x801)) for w in words_of(text))
-        for i in range(max(1, len(line) - window + 1) if line else 0):
-            owners.setdefault(line[i : i + window], set()).update([item] if item is not None else [])
+    for item, w in lists:
+        line = signs.written(w)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            owners.setdefault(line[i * signs.width : (i + window) * signs.width], set()).update([item] if item is not None else [])
     if not owners:
         return None, signs
     auto = ahocorasick.Automaton()
     for k, ids in owners.items():
-        auto.add_word(k, (len(k), frozenset(ids)))
+        auto.add_word(k, (len(k) // signs.width, frozenset(ids)))
     auto.make_automaton()
     return auto, signs
 
 
-def find(auto, signs: dict[bytes, str], text: str | None) -> tuple[int, list[int], set[str]]:
+def find(auto, signs: Signs, text: str | None) -> tuple[int, list[int], set[str]]:
     """Number of words, runs of hit words as a flat list of first and end, ids of items found."""
     w = words_of(text)
     runs, ids = [], set()
     if auto is not None and w:
-        for end, (k, owners) in auto.iter("".join([signs.get(x, "\0") for x in w])):
-            runs.append((end + 1 - k, end + 1))
+        for end, (k, owners) in auto.iter(signs.written(w)):
+            last = (end + 1) // signs.width
+            runs.append((last - k, last))
             ids |= owners
     return len(w), merged(runs), ids
 
@@ -106,7 +121,7 @@ def _scanner(items, window: int, key: str, last: bool):
     return scan
 
 
-def scan(docs: DataFrame, items: DataFrame, *, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = 200_000) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, *, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = 100_000) -> DataFrame:
     """docs with `n_words`, `n_hit`, `items` (ids as strings, sorted) and `spans` (code points of the original text) added.
 
     Columns of docs keep their places; one that has an added column's name is replaced.
