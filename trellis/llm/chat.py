@@ -64,34 +64,40 @@ def _cut(links: DataFrame, circling: DataFrame, rounds: int) -> DataFrame:
     return stored(links.join(roots, _same("tree", "t") & (F.col("node") == F.col("n")), "left").select("tree", "node", F.when(F.col("opens").isNull(), F.col("parent")).alias("parent"), "score"), "chat-links")
 
 
-def pointers(links: DataFrame) -> list[DataFrame]:
-    """Per round k: (t, n, to, s): each message's ancestor 2**k up (null beyond the root) and the scores on the way there.
+def pointers(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Per round k (t, n, to, s): the ancestor 2**k up of each message that has one, and the scores on the way there; then
+    (t, n, s) with the whole path's score for every message. Messages that have come to their root leave the rounds.
 
-    links: (tree, node, parent, score), nodes once, parents that exist. In the last round every `to` is null.
+    links: (tree, node, parent, score), nodes once, parents that exist.
     """
-    levels = [links.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("parent").alias("to"), F.col("score").alias("s"))]
+    every = links.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("parent").alias("to"), F.col("score").alias("s"))
     most = links.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    while not levels[-1].where("to is not null").isEmpty():
-        now = levels[-1]
-        if 2 ** (len(levels) - 1) > most:
-            return pointers(_cut(links, now.where("to is not null").select("t", F.col("to").alias("n")).distinct(), len(levels)))
-        on = now.select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("to").alias("to2"), F.col("s").alias("s2"))
-        levels.append(stored(now.join(on, _same("t", "t2") & (F.col("to") == F.col("n2")), "left").select("t", "n", F.col("to2").alias("to"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s")), "chat-pointers"))
-    return levels
+    levels, live, done = [], every.where("to is not null"), every.where("to is null")
+    while not live.isEmpty():
+        if 2 ** len(levels) > most:
+            return pointers(_cut(links, live.select("t", F.col("to").alias("n")).distinct(), len(levels)))
+        levels.append(live)
+        on = live.unionByName(done).select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("to").alias("to2"), F.col("s").alias("s2"))
+        step = stored(live.join(on, _same("t", "t2") & (F.col("to") == F.col("n2"))).select("t", "n", F.col("to2").alias("to"), (F.col("s") + F.col("s2")).alias("s")), "chat-pointers")
+        live, done = step.where("to is not null"), done.unionByName(step.where("to is null"))
+    return levels, done
 
 
 def paths(messages: DataFrame, best: int | None) -> DataFrame:
     """(tree, leaf, branch, score, node, up): the messages of the `best` paths of each tree (None: all), the leaf at up = 0."""
     known = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.lit(True).alias("found"))
     links = messages.join(known, _same("tree", "t") & (F.col("parent") == F.col("n")), "left").select("tree", "node", F.when(F.col("found"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    levels = pointers(stored(links, "chat-links"))
-    leaves = levels[-1].join(levels[0].where("to is not null").select(F.col("t").alias("t2"), F.col("to").alias("n2")).distinct(), _same("t", "t2") & (F.col("n") == F.col("n2")), "left_anti")
+    levels, totals = pointers(stored(links, "chat-links"))
+    leaves = totals
+    if levels:
+        parents = levels[0].select(F.col("t").alias("t2"), F.col("to").alias("n2")).distinct()
+        leaves = totals.join(parents, _same("t", "t2") & (F.col("n") == F.col("n2")), "left_anti")
     ranked = leaves.withColumn("branch", F.row_number().over(W.partitionBy("t").orderBy(F.desc("s"), "n")))
     if best is not None:
         ranked = ranked.where(F.col("branch") <= best)
     found = stored(ranked.select(F.col("t").alias("tree"), F.col("n").alias("leaf"), "branch", F.col("s").alias("score"), F.col("n").alias("node"), F.lit(0).cast("long").alias("up")), "chat-paths")
-    for k, level in enumerate(levels[:-1]):
-        on = level.where("to is not null").select("t", "n", "to")
+    for k, level in enumerate(levels):
+        on = level.select("t", "n", "to")
         more = found.join(on, _same("tree", "t") & (F.col("node") == F.col("n"))).select("tree", "leaf", "branch", "score", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))
         found = found.unionByName(stored(more, "chat-paths"))
     return found
