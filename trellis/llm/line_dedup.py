@@ -111,12 +111,10 @@ def _key(d: int, i: int, t: int, shift: int) -> Column:
     return F.xxhash64(F.col("_long") - d, F.lit(i), F.substr(F.col("line"), at + shift + 1, base + (rest >= t + 1 - i).cast("int")))
 
 
-def index_keys(t: int) -> Column:
-    return F.array(*(_key(0, i, t, 0) for i in range(t + 1)))
-
-
 def probe_keys(t: int) -> Column:
-    return F.array(*(_key(d, i, t, shift) for d in range(t + 1) for i in range(t + 1) for shift in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)))
+    """The keys a line probes with; its own segments in place, which are what it is indexed under, are the first t + 1."""
+    places = [(d, i, shift) for d in range(t + 1) for i in range(t + 1) for shift in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)]
+    return F.array(*(_key(d, i, t, shift) for d, i, shift in sorted(places, key=lambda x: (x[0] != 0 or x[2] != 0, x))))
 
 
 def near_lines(lines: DataFrame, texts, *, edits: int) -> DataFrame:
@@ -124,11 +122,12 @@ def near_lines(lines: DataFrame, texts, *, edits: int) -> DataFrame:
 
     lines: (u, p, line); texts(at) fetches (id, u, p, line) of the lines at (u, p).
     """
-    lines = measured(lines, edits)
-    index = lines.select(F.explode(index_keys(edits)).alias("key"), F.col("u").alias("au"), F.col("p").alias("ap"), F.col("letters").alias("al"))
-    probe = lines.select(F.explode(probe_keys(edits)).alias("key"), F.col("u").alias("bu"), F.col("p").alias("bp"), F.col("letters").alias("bl"))
+    # written, as both sides of the join read them: texts are split, counted and cut once
+    keyed = stored(measured(lines, edits).select("u", "p", "letters", probe_keys(edits).alias("keys")), "line-keys")
+    index = keyed.select(F.explode(F.slice("keys", 1, edits + 1)).alias("k"), F.col("u").alias("au"), F.col("p").alias("ap"), F.col("letters").alias("al"))
+    probe = keyed.select(F.explode("keys").alias("key"), F.col("u").alias("bu"), F.col("p").alias("bp"), F.col("letters").alias("bl"))
     apart = (F.col("au") != F.col("bu")) | (F.col("ap") != F.col("bp"))
-    met = index.withColumnRenamed("key", "k").join(probe, (F.col("k") == F.col("key")) & apart & like_letters("al", "bl", edits))
+    met = index.join(probe, (F.col("k") == F.col("key")) & apart & like_letters("al", "bl", edits))
     turned = F.struct(F.col("au"), F.col("ap")) > F.struct(F.col("bu"), F.col("bp"))
     pairs = met.select(*(F.when(turned, F.col(y + c)).otherwise(F.col(x + c)).alias(x + c) for x, y in ("ab", "ba") for c in "up"))
     pairs = stored(pairs.distinct(), "line-candidates")
