@@ -28,12 +28,12 @@ def brute(rows, edits, least):
     first, gone = [], {}
     for i, (doc, text) in enumerate(rows):
         for p, line in enumerate((text or "").split("\n")):
-            if len(line) < least or doc is None:
+            if not line or doc is None:
                 continue
             if any(line == x for x in first):
                 gone.setdefault(i, []).append((p, 0))
             else:
-                if any(abs(len(line) - len(x)) <= edits and distance(line, x) <= edits for x in first):
+                if len(line) >= least and any(len(x) >= least and abs(len(line) - len(x)) <= edits and distance(line, x) <= edits for x in first):
                     gone.setdefault(i, []).append((p, 1))
                 first.append(line)
     return [("\n".join(x for p, x in enumerate((t or "").split("\n")) if p not in dict(gone.get(i, []))), sum(not n for _, n in gone.get(i, [])), sum(n for _, n in gone.get(i, []))) for i, (_, t) in enumerate(rows)]
@@ -41,7 +41,7 @@ def brute(rows, edits, least):
 
 def test_dedup_equals_brute_force(spark):
     rng = random.Random(3)
-    base = ["".join(rng.choice("abcdeéß ") for _ in range(rng.randint(8, 60))) for _ in range(40)]
+    base = ["".join(rng.choice("abcdeéß ") for _ in range(rng.randint(1, 60))) for _ in range(40)]
     rows = []
     for d in range(60):
         lines = []
@@ -52,7 +52,7 @@ def test_dedup_equals_brute_force(spark):
                 line[at : at + rng.choice([0, 1])] = rng.choice(["", "x", "🙂"])
             lines.append("".join(line))
         rows.append((d, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "z" * 3000 + "\n" + "z" * 3001), (None, rows[1][1])]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "}\n\n}"), (104, "}"), (105, "z" * 3000 + "\n" + "z" * 3001), (None, rows[1][1])]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, n_near string").repartition(5)
     got = {r.doc_id: (r.kept_text, r.n_exact, r.n_near) for r in line_dedup.dedup_lines(df).collect()}
     want = brute(rows, 2, 20)

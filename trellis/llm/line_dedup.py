@@ -1,7 +1,7 @@
 """Line dedup within an edit distance, with DataFrame functions only.
 
 A line goes when the same line, or one within `edits` edits of it, comes earlier in the corpus (by document id, then
-place). Lines of fewer than `least` characters are too common to mean anything and stay.
+place). Lines of fewer than `least` characters go only as exact repeats: a few edits make any short line another.
 
 Near lines are found by segment partition. Of two lines within t edits, one's t + 1 even segments cannot all be touched, so
 one of them is a substring of the other. Every line indexes its segments under (its length, segment number, content) and
@@ -139,19 +139,22 @@ def near_lines(lines: DataFrame, texts, *, edits: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, *, edits: int = 2, least: int = 20, doc: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs with `kept_text`, `n_lines`, `n_exact` and `n_near` (lines dropped as equal or near to an earlier one) added."""
+    """docs with `kept_text`, `n_lines`, `n_exact` and `n_near` (lines dropped as equal or near to an earlier one) added.
+
+    `least` is the length from which near lines count; equal ones count at every length but nought.
+    """
     if least <= 2 * edits:
         raise ValueError("lines must be longer than twice the edits for segments to exist and windows to fit")
     names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_exact", "n_near")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(doc).cast("long").alias("id"), text_of(text).alias("text"))
     rows = rows.withColumn("u", F.when(F.col("id").isNotNull(), F.xxhash64("id", "text")))
     split = rows.where(F.col("u").isNotNull()).select("id", "u", F.split("text", "\n", -1).alias("lines"))
-    lines = split.select("id", "u", F.posexplode("lines").alias("p", "line")).where(F.length("line") >= least)
+    lines = split.select("id", "u", F.posexplode("lines").alias("p", "line")).where("line <> ''")
     seen = stored(lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), "id", "u", "p"), "line-seen")
     firsts = stored(seen.groupBy("h1", "h2").agg(F.min(F.struct("id", "u", "p")).alias("f")).select("h1", "h2", F.col("f.id").alias("fid"), F.col("f.u").alias("fu"), F.col("f.p").alias("fp")), "line-firsts")
     # by place, which is no hot key however often a line stands
     again = stored(seen.join(firsts.select(F.col("fu").alias("u"), F.col("fp").alias("p")), ["u", "p"], "left_anti").select("u", "p").distinct(), "line-again")
-    once = lines.join(F.broadcast(again) if smaller_than(again, broadcast_rows) else again, ["u", "p"], "left_anti").select("id", "u", "p", "line")
+    once = lines.where(F.length("line") >= least).join(F.broadcast(again) if smaller_than(again, broadcast_rows) else again, ["u", "p"], "left_anti").select("id", "u", "p", "line")
 
     def texts(at: DataFrame) -> DataFrame:
         wanted = at.groupBy("u").agg(F.collect_list("p").alias("at"))

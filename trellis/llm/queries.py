@@ -82,8 +82,8 @@ ORACLES = {
     "op1_segment_line_dedup": """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
 l AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS p, unnest(w) AS line FROM d),
-f AS (SELECT line, min((doc_id, p)) AS f FROM l WHERE length(line) >= 20 GROUP BY line),
-c AS (SELECT line, f, array_to_string(list_transform(string_split(line, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE chr((1 + unicode(c) % 127)::INTEGER) END), '') AS a, length(line) AS n FROM f),
+f AS (SELECT line, min((doc_id, p)) AS f FROM l WHERE line <> '' GROUP BY line),
+c AS (SELECT line, f, array_to_string(list_transform(string_split(line, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE chr((1 + unicode(c) % 127)::INTEGER) END), '') AS a, length(line) AS n FROM f WHERE length(line) >= 20),
 near AS (SELECT DISTINCT y.line FROM c x JOIN c y ON x.n BETWEEN y.n - 2 AND y.n + 2 AND x.f < y.f WHERE levenshtein(x.a, y.a) <= 2),
 k AS (SELECT doc_id, p, l.line, f.line IS NOT NULL AND (doc_id, p) <> f.f AS exact, f.line IS NOT NULL AND (doc_id, p) = f.f AND near.line IS NOT NULL AS near
       FROM l LEFT JOIN f ON l.line = f.line LEFT JOIN near ON l.line = near.line)
