@@ -61,6 +61,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def trimmed(run):
+    """run, a function over a partition's batches, after which the worker gives freed memory back to the system: workers
+    live on into later stages, beside an executor's heap that has grown."""
+    def through(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if give:
+            give(0)
+
+    return through
+
+
 def text_of(name: str) -> Column:
     """A text column as a string, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import small_batches, stored, text_of
+from trellis.llm.common import small_batches, stored, text_of, trimmed
 
 #: Bytes to words: A-Z lowered, other ASCII besides letters and digits is a gap, all else belongs to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, items: DataFrame, *, window: int = 10, text: str = "te
     df = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), text_of(text).alias("_text"), F.lit(0).cast("long").alias("_n"), F.array().cast("array<int>").alias("_hit"), F.array().cast("array<string>").alias("_items"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("_spans"))
     for k in range(blocks):
         own = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).collect()]
-        df = df.mapInArrow(_scanner(sent := spark.sparkContext.broadcast(own), window, f"{spark.sparkContext.applicationId}/{sent._jbroadcast.id()}", k == blocks - 1), df.schema)
+        df = df.mapInArrow(trimmed(_scanner(sent := spark.sparkContext.broadcast(own), window, f"{spark.sparkContext.applicationId}/{sent._jbroadcast.id()}", k == blocks - 1)), df.schema)
         if k < blocks - 1:
             df = stored(df, "decontaminate")
     hit = F.aggregate(F.sequence(F.lit(0), (F.size("_hit") / 2).cast("int") - 1), F.lit(0).cast("long"), lambda s, i: s + F.col("_hit")[2 * i + 1] - F.col("_hit")[2 * i])

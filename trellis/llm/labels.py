@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trellis.llm.common import text_of
+from trellis.llm.common import text_of, trimmed
 
 
 def held_out(key: Column) -> Column:
@@ -53,7 +53,7 @@ def fitted(rows: DataFrame, fit: Callable):
         model = fit(table["t"].to_pylist(), y, weights / weights.mean() if len(weights) else weights)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    got = rows.repartition(1).mapInArrow(run, "model binary").first()
+    got = rows.repartition(1).mapInArrow(trimmed(run), "model binary").first()
     return pickle.loads(got.model) if got else fit([], np.zeros(0), np.zeros(0))
 
 

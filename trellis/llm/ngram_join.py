@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import Sets, components, lean, mix, pieces_of, small_batches, stored, text_buffer, text_of, word_hashes
+from trellis.llm.common import Sets, components, lean, mix, pieces_of, small_batches, stored, text_buffer, text_of, trimmed, word_hashes
 
 _SEEDS = [np.uint64(int(x)) for x in np.random.default_rng(7).integers(1, 2**63, 8)]
 
@@ -262,7 +262,7 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, doc: str
     percent/100 reach, x the text's xxhash64, component the group itself (null without shingles)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc).cast("long").alias("id"), text_of(text).alias("text")).withColumn("x", F.xxhash64("text"))
-    told = stored(rows.mapInArrow(_told(n, percent), "id long, x long, n long, h long, own0 long, tokens0 array<long>, own1 long, tokens1 array<long>"), "ngram-tokens")
+    told = stored(rows.mapInArrow(trimmed(_told(n, percent)), "id long, x long, n long, h long, own0 long, tokens0 array<long>, own1 long, tokens1 array<long>"), "ngram-tokens")
     signed = told.select("id", "x", "n", "h")
     classes = stored(signed.where(F.col("h").isNotNull()).groupBy("h").agg(F.min("id").alias("least"), F.min("x").alias("x"), F.first("n").alias("n")), "ngram-classes")
 
@@ -284,7 +284,7 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, doc: str
 
     # the sets of classes that share a bucket
     chosen = stored(members.select("h").distinct().join(classes, "h").select("x", "h"), "ngram-chosen")
-    sets = stored(rows.select("text", "x").join(lean(chosen, broadcast_rows), "x").select("text", "h").mapInArrow(_sets_of(n), "h long, s array<long>").dropDuplicates(["h"]), "ngram-sets")
+    sets = stored(rows.select("text", "x").join(lean(chosen, broadcast_rows), "x").select("text", "h").mapInArrow(trimmed(_sets_of(n)), "h long, s array<long>").dropDuplicates(["h"]), "ngram-sets")
 
     alike = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
     both_of = lambda x, y: y if x is None else x.unionByName(y)

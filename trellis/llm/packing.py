@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellis.llm.common import small_batches, text_of
+from trellis.llm.common import small_batches, text_of, trimmed
 
 _SPECIAL = "<|endoftext|>"
 _ENCODERS: dict[str, object] = {}
@@ -151,4 +151,4 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, end_id: int = 0,
             yield ready(kind)
 
     schema = T.StructType([*kinds, *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), *[T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids])
-    return docs.select(F.col(doc).alias("_doc"), text_of(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc).alias("_doc"), text_of(text).alias("_text")).mapInArrow(trimmed(run), schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellis.llm.common import _BASE, _BASE_INV, _BYTE, _powers, mix, pieces_of, small_batches, text_buffer, text_of
+from trellis.llm.common import _BASE, _BASE_INV, _BYTE, _powers, mix, pieces_of, small_batches, text_buffer, text_of, trimmed
 from trellis.llm.labels import calibrate, fitted, sample, sigmoid
 
 GRAMS = (4, 5, 6)
@@ -226,4 +226,4 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             for part in pieces_of(batch, 1, 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.score(*text_buffer(part.column(1))), pa.float64())], ["_row", "score"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField("score", T.DoubleType())])).select("_row.*", "score")
+    return rows.mapInArrow(trimmed(run), T.StructType([rows.schema["_row"], T.StructField("score", T.DoubleType())])).select("_row.*", "score")
