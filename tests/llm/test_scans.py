@@ -1,3 +1,4 @@
+import gc
 import random
 import zlib
 from collections import defaultdict
@@ -127,3 +128,19 @@ def test_trie_counts_equal_brute_force(spark):
         w = (texts[r.doc_id] or "").split()
         assert r.n_pretokens == len(w) and r.n_tokens == sum(brute_count("▁" + x, model) for x in w)
     assert token_counts.token_counts(df.limit(0), path).collect() == []
+
+
+def test_trie_equals_brute_force_on_odd_vocabularies_and_its_nodes_are_no_objects():
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("ab▁é🙂") for _ in range(n))
+    for _ in range(30):  # pieces within pieces, equal scores
+        model = {say(rng.randint(1, 6)): -float(rng.randint(1, 4)) for _ in range(rng.randint(0, 25))}
+        trie, words = token_counts.Trie(model), [say(rng.randint(0, 12)) for _ in range(60)]
+        assert [trie.count(w) for w in words] == [brute_count(w, model) for w in words]
+    trie, words = token_counts.Trie({"a": -1.0}), [say(30) for _ in range(1000)]
+    gc.collect()
+    held = len(gc.get_objects())
+    for w in words:
+        trie.count(w)
+    gc.collect()
+    assert len(gc.get_objects()) - held < 1000  # some 25,000 nodes

@@ -2,8 +2,9 @@
 
 Pre-tokens are the words of a text (between white space), each with the word mark in front. The forward score of a prefix
 depends on the prefix alone, so the distinct pre-tokens of a partition are inserted into a trie: a node holds its prefix's
-best score and number of tokens, worked out once from the nodes above it, and its children. What a word's last node holds is
-its terminal count, which is stored for the word; a text's count is the sum over its words.
+best score and number of tokens, worked out once from the nodes above it, and its children. An automaton of the vocabulary
+says which pieces end at a node, so no others are tried. What a word's last node holds is its terminal count, which is
+stored for the word; a text's count is the sum over its words.
 
 Vocabulary: the pieces of a public SentencePiece file, which is never trained. Its ids are ranks, so a piece of rank r gets
 the unigram score -log(r + 1) (Zipf's law), byte pieces apart; a character outside the vocabulary falls back to its UTF-8
@@ -39,31 +40,75 @@ def scores(path: str) -> dict[str, float]:
     return _MODELS[path]
 
 
+class Pieces:
+    """An automaton of the vocabulary: `ends[state]` are the (length, score) of all pieces that end where the state stands."""
+
+    def __init__(self, model: dict[str, float]):
+        self.goto, self.fail, self.ends = [{}], [0], [()]
+        for piece, p in model.items():
+            at = 0
+            for c in piece:
+                if c not in self.goto[at]:
+                    self.goto[at][c] = len(self.goto)
+                    self.goto.append({})
+                    self.fail.append(0)
+                    self.ends.append(())
+                at = self.goto[at][c]
+            if at:
+                self.ends[at] = ((len(piece), p),)
+        level = list(self.goto[0].values())
+        while level:  # shorter states first
+            for at in level:
+                self.ends[at] += self.ends[self.fail[at]]
+                for c, to in self.goto[at].items():
+                    self.fail[to] = self.after(self.fail[at], c)
+            level = [to for at in level for to in self.goto[at].values()]
+
+    def after(self, at: int, c: str) -> int:
+        goto = self.goto
+        while (to := goto[at].get(c)) is None:
+            if not at:
+                return 0
+            at = self.fail[at]
+        return to
+
+
 class Trie:
-    """Prefixes with their forward scores: a node is [best score, tokens of it, children by character]."""
+    """Prefixes with their forward scores: node i has best score `score[i]`, `tokens[i]` tokens of it, the automaton's
+    `state[i]`; `below` has its child by `i << 21 | character`. A node is no object of its own, so however many there are,
+    Python's garbage collector has nothing to walk through.
+    """
 
     def __init__(self, model: dict[str, float]):
-        self.model, self.longest = model, max(map(len, model), default=1)
-        self.root, self.nodes = [0.0, 0, {}], 0
+        self.pieces = Pieces(model)
+        self.empty()
+
+    def empty(self) -> None:
+        self.score, self.tokens, self.state, self.below = [0.0], [0], [0], {}
 
     def count(self, word: str) -> int:
         """The word's terminal count; makes the nodes that are missing."""
-        path, node = [self.root], self.root
-        for end, c in enumerate(word, 1):
-            node = node[2].get(c)
-            if node is None:
-                n = len(c.encode("utf-8", "replace"))
-                s, t = path[-1][0] + n * _BYTE_PENALTY, path[-1][1] + n
-                for start in range(max(0, end - self.longest), end):
-                    p = self.model.get(word[start:end])
-                    if p is not None:
-                        v, w = path[start][0] + p, path[start][1] + 1
-                        if v > s or v == s and w < t:
-                            s, t = v, w
-                node = path[-1][2][c] = [s, t, {}]
-                self.nodes += 1
+        score, tokens, state, below, after, ends = self.score, self.tokens, self.state, self.below, self.pieces.after, self.pieces.ends
+        node, path = 0, [0]
+        for c in word:
+            key = node << 21 | ord(c)
+            child = below.get(key)
+            if child is None:
+                at = after(state[node], c)
+                n = 1 if c < "\x80" else len(c.encode("utf-8", "replace"))
+                s, t = score[node] + n * _BYTE_PENALTY, tokens[node] + n
+                for long, p in ends[at]:
+                    start = path[-long]
+                    v = score[start] + p
+                    if v > s or v == s and tokens[start] + 1 < t:
+                        s, t = v, tokens[start] + 1
+                child = below[key] = len(score)
+                score.append(s)
+                tokens.append(t)
+                state.append(at)
+            node = child
             path.append(node)
-        return node[1]
+        return tokens[node]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, *, text: str = "text", most_words: int = 2_000_000, most_nodes: int = 1_000_000) -> DataFrame:
@@ -79,9 +124,9 @@ def token_counts(docs: DataFrame, vocabulary: str, *, text: str = "text", most_w
             lists = [t.split() for t in batch["_text"].to_pylist()]
             if len(known) > most_words:
                 known.clear()
-            for word in set().union(*lists).difference(known):
-                if trie.nodes > most_nodes:
-                    trie = Trie(trie.model)
+            for word in sorted(set().union(*lists).difference(known)):  # neighbours share most of their way
+                if len(trie.score) > most_nodes:
+                    trie.empty()
                 known[word] = trie.count(MARK + word)
             get = known.__getitem__
             yield pa.RecordBatch.from_arrays([batch["_row"], pa.array([len(x) for x in lists], pa.int64()), pa.array([sum(map(get, x)) for x in lists], pa.int64())], ["_row", "n_pretokens", "n_tokens"])
