@@ -66,6 +66,11 @@ def test_fast_encoder_equals_tokenizers():
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_takes_a_million_blanks():
+    for t in (" " * 1_000_000 + "x", "a" + "\n" * 1_000_000):
+        assert packing.encoder(BPE)(t).tolist() == Tokenizer.from_file(BPE).encode(t, add_special_tokens=False).ids
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "x", "é🙂"]) for _ in range(rng.choice([0, 1, 5, 50, 400, 3000])))) for i in range(120)] + [(None, None), (7, "again")]

@@ -33,7 +33,8 @@ def encoder(path: str):
     """text -> uint32 ids of the byte-level BPE in a `tokenizers` file.
 
     A tiktoken encoding over the same merges gives the same ids several times as fast; a text that spells a special token
-    goes to the tokenizers library itself, which makes that token of it. A test holds both against each other.
+    goes to the tokenizers library itself, which makes that token of it, and so does one that tiktoken cannot split. A test
+    holds both against each other.
     """
     if path not in _ENCODERS:
         import json
@@ -50,7 +51,16 @@ def encoder(path: str):
         ranks = {bytes(as_byte[c] for c in piece): i for piece, i in vocab.items() if piece != _SPECIAL}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         fast = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _ENCODERS[path] = lambda text: np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32) if _SPECIAL in text else np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+
+        def encode(text: str) -> np.ndarray:
+            if _SPECIAL not in text:
+                try:
+                    return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+                except ValueError:  # its regex gives up on a run of about a million blanks
+                    pass
+            return np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32)
+
+        _ENCODERS[path] = encode
     return _ENCODERS[path]
 
 
